@@ -2,5 +2,645 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import tempfile
+from collections.abc import Callable
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rollgrid.functions import formatting
+from rollgrid.functions.timebuckets import epoch_millis
+from rollgrid.operators import bloom, dedup, enrich, keyed_store, laggards, merge, partitioning
+from rollgrid.operators.rollup import aggregate_rows, collect_composite, cumulative_sum, on_the_fly, rank_composite, rollup
+from rollgrid.plans.query import answer, describe_schema, expand_keys, parse_query, run_query
+from rollgrid.plans.schema import Schema, parse_schema
+from rollgrid.session import read_table
+from rollgrid.sources import event_log, lookups
+from rollgrid.streaming import jobs
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "events")
+    return rows.select("event_id", "user_id", "event_type", "value", "props", epoch_millis(F.col("ts")).alias("time"), (F.col("user_id") % 10).alias("grp"))
+
+
+def _round(df: DataFrame) -> DataFrame:
+    """Doubles to four decimals, as sums of doubles depend on order."""
+    return df.select(*[F.round(F.col(f"`{c}`"), 4).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+def _schema(keys: list[dict], aggregators: list, buckets: list[str] | None, dimensions: object = None, **value: object) -> Schema:
+    told = {"keys": keys, "values": [{"name": "value", "type": "double", "aggregators": aggregators, **value}]}
+    if buckets:
+        told["timeBuckets"] = buckets
+    if dimensions is not None:
+        told["dimensions"] = dimensions
+    return parse_schema(told)
+
+
+TYPE = {"name": "event_type", "type": "string"}
+GROUP = {"name": "grp", "type": "long"}
+BY_TYPE = _schema([TYPE], ["SUM", "COUNT", "MIN", "MAX"], ["1h", "1d"], [{"combination": ["event_type"]}, {"combination": []}])
+BOTH = _schema([TYPE, GROUP], ["SUM", "COUNT"], ["1d"], "ALL_COMBINATIONS")
+
+#: SQL for events with epoch milliseconds and groups of users.
+E = "WITH e AS (SELECT event_id, user_id, event_type, value, props, epoch_ms(ts) AS time, user_id % 10 AS grp FROM events)"
+
+
+def _floor(size: int, column: str = "time") -> str:
+    return f"({column} - {column} % {size})"
+
+
+DAY, HOUR = 86_400_000, 3_600_000
+
+
+# rollups ------------------------------------------------------------------------------
+
+
+@query(f'{E} SELECT {_floor(DAY)} AS time, round(sum(value), 4) AS "value:SUM", count(value) AS "value:COUNT" FROM e GROUP BY 1')
+def rollup_total_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = rollup(_events(spark, sf_dir), _schema([], ["SUM", "COUNT"], ["1d"]))
+    return _round(cube.select("time", "`value:SUM`", "`value:COUNT`"))
+
+
+@query(f'{E} SELECT {_floor(HOUR)} AS time, event_type, round(sum(value), 4) AS "value:SUM", count(value) AS "value:COUNT" FROM e GROUP BY 1, 2')
+def rollup_event_type_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = rollup(_events(spark, sf_dir), _schema([TYPE], ["SUM", "COUNT"], ["1h"], [{"combination": ["event_type"]}]))
+    return _round(cube.select("time", "event_type", "`value:SUM`", "`value:COUNT`"))
+
+
+@query(f"""{E}, b AS (SELECT *, unnest([{{'b': '5m', 's': 300000}}, {{'b': '1h', 's': {HOUR}}}, {{'b': '1d', 's': {DAY}}}]) AS k FROM e)
+SELECT k.b AS bucket, time - time % k.s AS time, event_type, round(sum(value), 4) AS "value:SUM", count(value) AS "value:COUNT" FROM b GROUP BY ALL""")
+def rollup_multi_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = rollup(_events(spark, sf_dir), _schema([TYPE], ["SUM", "COUNT"], ["5m", "1h", "1d"], [{"combination": ["event_type"]}]))
+    return _round(cube.drop("dims"))
+
+
+SETS = """CASE WHEN grouping(event_type) = 0 AND grouping(grp) = 0 THEN 'event_type,grp' WHEN grouping(event_type) = 0 THEN 'event_type' WHEN grouping(grp) = 0 THEN 'grp' ELSE '()' END AS dims"""
+
+
+@query(f'{E} SELECT {SETS}, {_floor(DAY)} AS time, event_type, grp, round(sum(value), 4) AS "value:SUM", count(value) AS "value:COUNT" FROM e GROUP BY GROUPING SETS ((3, event_type), (3, event_type, grp), (3))'.replace("(3", f"({_floor(DAY)}"))
+def rollup_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = _schema([TYPE, GROUP], ["SUM", "COUNT"], ["1d"], [{"combination": ["event_type"]}, {"combination": ["grp", "event_type"]}, {"combination": []}])
+    return _round(rollup(_events(spark, sf_dir), schema).drop("bucket"))
+
+
+@query(f'{E} SELECT {SETS}, {_floor(DAY)} AS time, event_type, grp, round(sum(value), 4) AS "value:SUM", count(value) AS "value:COUNT" FROM e GROUP BY {_floor(DAY)}, CUBE (event_type, grp)')
+def rollup_all_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(rollup(_events(spark, sf_dir), BOTH).drop("bucket"))
+
+
+@query(f'{E} SELECT {SETS}, event_type, grp, round(sum(value), 4) AS "value:SUM", count(value) AS "value:COUNT" FROM e GROUP BY CUBE (event_type, grp)')
+def rollup_no_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(rollup(_events(spark, sf_dir), _schema([TYPE, GROUP], ["SUM", "COUNT"], None, "ALL_COMBINATIONS")).drop("bucket", "time"))
+
+
+@query(f"""{E} SELECT {SETS}, {_floor(DAY)} AS time, event_type, grp, round(sum(value), 4) AS "value:SUM",
+CASE WHEN grouping(event_type) = 0 THEN round(min(value), 4) END AS "value:MIN", CASE WHEN grouping(event_type) = 0 THEN round(max(value), 4) END AS "value:MAX"
+FROM e GROUP BY GROUPING SETS (({_floor(DAY)}, event_type), ({_floor(DAY)}, grp))""")
+def rollup_additional_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = _schema([TYPE, GROUP], ["SUM"], ["1d"], [{"combination": ["event_type"], "additionalValues": ["value:MIN", "value:MAX"]}, {"combination": ["grp"]}])
+    return _round(rollup(_events(spark, sf_dir), schema).drop("bucket"))
+
+
+@query(f"""{E} SELECT 'event_type' AS dims, '1d' AS bucket, {_floor(DAY)} AS time, event_type, count(value) AS "value:COUNT" FROM e GROUP BY ALL
+UNION ALL SELECT 'event_type', '2h', {_floor(2 * HOUR)}, event_type, count(value) FROM e GROUP BY ALL
+UNION ALL SELECT '()', '1d', {_floor(DAY)}, NULL, count(value) FROM e GROUP BY ALL
+UNION ALL SELECT '()', '3d', {_floor(3 * DAY)}, NULL, count(value) FROM e GROUP BY ALL""")
+def rollup_per_combination_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup(_events(spark, sf_dir), _schema([TYPE], ["COUNT"], ["1d"], [{"combination": ["event_type"], "timeBuckets": ["2h"]}, {"combination": [], "timeBuckets": ["3d"]}]))
+
+
+@query(f'{E} SELECT {_floor(DAY)} AS time, event_type, round(avg(value), 4) AS "value:AVG" FROM e GROUP BY 1, 2')
+def rollup_avg_otf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = rollup(_events(spark, sf_dir), _schema([TYPE], ["AVG"], ["1d"], [{"combination": ["event_type"]}]))
+    return _round(cube.select("time", "event_type", on_the_fly(cube, "value", "AVG").alias("value:AVG")))
+
+
+@query(f'{E} SELECT {_floor(HOUR)} AS time, grp, min(value) AS "value:MIN", max(value) AS "value:MAX" FROM e GROUP BY 1, 2')
+def rollup_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = rollup(_events(spark, sf_dir), _schema([GROUP], ["MIN", "MAX"], ["1h"], [{"combination": ["grp"]}]))
+    return cube.select("time", "grp", "`value:MIN`", "`value:MAX`")
+
+
+@query("""SELECT CASE WHEN grouping(l_returnflag) = 0 AND grouping(l_linestatus) = 0 THEN 'l_returnflag,l_linestatus' WHEN grouping(l_returnflag) = 0 THEN 'l_returnflag' WHEN grouping(l_linestatus) = 0 THEN 'l_linestatus' ELSE '()' END AS dims,
+l_returnflag, l_linestatus, round(sum(l_extendedprice * (1 - l_discount)), 2) AS "revenue:SUM", count(*) AS "revenue:COUNT", max(l_quantity) AS "quantity:MAX"
+FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
+def rollup_lineitem_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = parse_schema({"keys": [{"name": "l_returnflag"}, {"name": "l_linestatus"}], "dimensions": "ALL_COMBINATIONS", "values": [{"name": "revenue", "expression": "l_extendedprice * (1 - l_discount)", "aggregators": ["SUM", "COUNT"]}, {"name": "quantity", "expression": "l_quantity", "aggregators": ["MAX"]}]})
+    cube = rollup(read_table(spark, sf_dir, "lineitem"), schema).drop("bucket", "time")
+    return cube.withColumn("revenue:SUM", F.round("`revenue:SUM`", 2))
+
+
+@query("""SELECT c_mktsegment AS segment, o_orderpriority AS priority, round(sum(l_extendedprice), 2) AS "sales:SUM", round(sum(l_tax * l_extendedprice), 2) AS "tax:SUM"
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""")
+def rollup_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales = read_table(spark, sf_dir, "lineitem").join(read_table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(read_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    schema = parse_schema({"keys": [{"name": "segment"}, {"name": "priority"}], "dimensions": [{"combination": ["segment", "priority"]}], "values": [{"name": "sales", "aggregators": ["SUM"]}, {"name": "tax", "aggregators": ["SUM"], "expression": "l_tax * l_extendedprice"}]})
+    cube = rollup(sales, schema, key_aliases={"segment": "c_mktsegment", "priority": "o_orderpriority"}, value_aliases={"sales": "l_extendedprice"})
+    return cube.select("segment", "priority", F.round("`sales:SUM`", 2).alias("sales:SUM"), F.round("`tax:SUM`", 2).alias("tax:SUM"))
+
+
+@query(f"""{E}, c AS (SELECT {SETS}, {_floor(DAY)} AS time, event_type, grp, sum(value) AS s, count(value) AS n FROM e GROUP BY {_floor(DAY)}, CUBE (event_type, grp))
+SELECT dims, time, event_type, grp, 'SUM' AS aggregator, round(s, 4) AS value FROM c UNION ALL SELECT dims, time, event_type, grp, 'COUNT', n::DOUBLE FROM c""")
+def rollup_aggregate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(aggregate_rows(rollup(_events(spark, sf_dir), BOTH), BOTH).drop("bucket"))
+
+
+@query(f"""{E}, h AS (SELECT {_floor(DAY)} AS time, event_type, sum(value) AS s FROM e GROUP BY 1, 2)
+SELECT time, event_type, round(sum(s) OVER (PARTITION BY event_type ORDER BY time), 4) AS "value:CUM_SUM" FROM h""")
+def cum_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = _schema([TYPE], ["SUM"], ["1d"], [{"combination": ["event_type"]}])
+    cube = cumulative_sum(rollup(_events(spark, sf_dir), schema), schema, "value:SUM")
+    return _round(cube.select("time", "event_type", "`value:CUM_SUM`"))
+
+
+@query(f"""{E} SELECT {_floor(DAY)} AS time, event_type, arg_min(value, event_id) AS "value:FIRST", arg_max(value, event_id) AS "value:LAST" FROM e GROUP BY 1, 2""")
+def first_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = rollup(_events(spark, sf_dir), _schema([TYPE], ["FIRST", "LAST"], ["1d"], [{"combination": ["event_type"]}]), arrival="event_id")
+    return cube.select("time", "event_type", "`value:FIRST`", "`value:LAST`")
+
+
+# dimension queries ----------------------------------------------------------------------
+
+
+def _ask(spark: SparkSession, sf_dir: str, schema: Schema, data: dict, **top: object) -> DataFrame:
+    asked = parse_query({"id": "q", "type": "dataQuery", "data": data, **top}, schema)
+    return _round(answer(rollup(_events(spark, sf_dir), schema), schema, asked))
+
+
+FROM, TO = 1_704_500_000_000, 1_705_500_000_000
+CUBE_1D = f"c AS (SELECT {_floor(DAY)} AS time, event_type, sum(value) AS s, count(value) AS n, min(value) AS lo, max(value) AS hi FROM e GROUP BY 1, 2)"
+CUBE_1H = f"c AS (SELECT {_floor(HOUR)} AS time, event_type, sum(value) AS s, count(value) AS n FROM e GROUP BY 1, 2)"
+
+
+@query(f"""{E}, {CUBE_1H} SELECT time, event_type, round(s, 4) AS "value:SUM", n AS "value:COUNT" FROM c WHERE time BETWEEN (SELECT max(time) FROM c) - 9 * {HOUR} AND (SELECT max(time) FROM c)""")
+def query_latest_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ask(spark, sf_dir, BY_TYPE, {"time": {"latestNumBuckets": 10, "bucket": "1h"}, "keys": {"event_type": []}, "fields": ["time", "event_type", "value:SUM", "value:COUNT"]})
+
+
+@query(f"""{E}, {CUBE_1D} SELECT time, event_type, round(s, 4) AS "value:SUM" FROM c WHERE time BETWEEN {FROM - FROM % DAY} AND {TO - TO % DAY}""")
+def query_from_to(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ask(spark, sf_dir, BY_TYPE, {"time": {"from": FROM, "to": TO, "latestNumBuckets": 2, "bucket": "1d"}, "keys": {"event_type": []}, "fields": ["time", "event_type", "value:SUM"]})
+
+
+@query(f"""{E}, {CUBE_1D} SELECT time, event_type, round(s, 4) AS "value:SUM", n AS "value:COUNT", lo AS "value:MIN", hi AS "value:MAX" FROM c WHERE event_type IN ('click', 'view') AND time >= {FROM - FROM % DAY} AND time <= {TO - TO % DAY}""")
+def query_key_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(_ask(spark, sf_dir, BY_TYPE, {"time": {"from": FROM, "to": TO, "bucket": "1d"}, "keys": {"event_type": ["click", "view"]}, "fields": ["time", "event_type", "value"]}))
+
+
+@query(f"""{E} SELECT {_floor(DAY)} AS time, event_type, grp, round(sum(value), 4) AS "value:SUM", count(value) AS "value:COUNT" FROM e GROUP BY 1, 2, 3 HAVING {_floor(DAY)} BETWEEN {FROM - FROM % DAY} AND {TO - TO % DAY}""")
+def query_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ask(spark, sf_dir, BOTH, {"time": {"from": FROM, "to": TO, "bucket": "1d"}, "keys": {"event_type": [], "grp": []}, "fields": ["time", "event_type", "grp", "value"]})
+
+
+@query(f"""{E} SELECT event_type, round(sum(value), 4) AS "value:SUM", count(value) AS "value:COUNT" FROM e WHERE event_type = 'purchase' GROUP BY 1""")
+def query_no_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = _schema([TYPE], ["SUM", "COUNT"], None, [{"combination": ["event_type"]}])
+    return _ask(spark, sf_dir, schema, {"keys": {"event_type": "purchase"}, "fields": ["event_type", "value"]})
+
+
+SLIDE = f"""w AS (SELECT *, sum(s) OVER f AS rs, sum(n) OVER f AS rn, count(*) OVER f AS k FROM c WHERE time BETWEEN {FROM - FROM % DAY - 2 * DAY} AND {TO - TO % DAY} WINDOW f AS (PARTITION BY event_type ORDER BY time ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))"""
+
+
+@query(f"""{E}, {CUBE_1D}, {SLIDE} SELECT time, event_type, round(rs, 4) AS "value:SUM", rn::BIGINT AS "value:COUNT" FROM w WHERE k = 3 AND time >= {FROM - FROM % DAY}""")
+def query_sliding_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ask(spark, sf_dir, BY_TYPE, {"time": {"from": FROM, "to": TO, "bucket": "1d", "slidingAggregateSize": "3"}, "keys": {"event_type": []}, "fields": ["time", "event_type", "value:SUM", "value:COUNT"]})
+
+
+@query(f"""{E}, {CUBE_1D}, {SLIDE} SELECT time, event_type, round(rs / rn, 4) AS "value:AVG" FROM w WHERE k = 3 AND time >= {FROM - FROM % DAY}""")
+def query_sliding_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ask(spark, sf_dir, BY_TYPE, {"time": {"from": FROM, "to": TO, "bucket": "1d", "slidingAggregateSize": 3}, "keys": {"event_type": []}, "fields": ["time", "event_type", "value:AVG"]})
+
+
+@query(f"""{E} SELECT {_floor(DAY)} AS time, event_type, 'ALL' AS grp, round(sum(value), 4) AS "value:SUM" FROM e GROUP BY 1, 2 HAVING {_floor(DAY)} BETWEEN {FROM - FROM % DAY} AND {TO - TO % DAY}""")
+def query_all_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ask(spark, sf_dir, BOTH, {"time": {"from": FROM, "to": TO, "bucket": "1d"}, "keys": {"event_type": []}, "fields": ["time", "event_type", "grp", "value:SUM"]})
+
+
+@query(f"""{E} SELECT * FROM (SELECT DISTINCT 'event_type' AS key, event_type AS value FROM e UNION SELECT 'event_type', 'refund') CROSS JOIN (SELECT min({_floor(DAY)}) AS "from", max({_floor(DAY)}) AS "to" FROM e)""")
+def query_schema_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = _schema([TYPE | {"enumValues": ["click", "refund"]}], ["SUM"], ["1d"], [{"combination": ["event_type"]}])
+    return describe_schema(rollup(_events(spark, sf_dir), schema), schema)
+
+
+@query("""SELECT 0::BIGINT AS time, '' AS event_type, 0::DOUBLE AS "value:SUM" WHERE false""")
+def query_incomplete_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ask(spark, sf_dir, BY_TYPE, {"time": {"latestNumBuckets": 1_000_000, "bucket": "1d"}, "keys": {"event_type": []}, "fields": ["time", "event_type", "value:SUM"]}, countdown=3, incompleteResultOK=False)
+
+
+@query(f"""{E} SELECT t.event_type, g.grp FROM (SELECT DISTINCT event_type FROM e) t CROSS JOIN (SELECT DISTINCT grp FROM e) g WHERE NOT (event_type = 'error' AND grp > 4)""")
+def query_key_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir)
+    return expand_keys({"event_type": rows.select("event_type"), "grp": rows.select("grp")}, keep=~((F.col("event_type") == "error") & (F.col("grp") > 4)))
+
+
+# composites --------------------------------------------------------------------------------
+
+
+def _composite(spark: SparkSession, sf_dir: str, aggregator: str, embedded: str, count: int, parent: tuple[str, ...], sub: tuple[str, ...]) -> DataFrame:
+    told = [{"aggregator": aggregator, "count": count, "embededAggregator": embedded, "subCombinations": list(sub)}]
+    keys = [TYPE, GROUP, {"name": "user_id", "type": "long"}]
+    schema = _schema(keys, told, ["1d"], [{"combination": list(parent)}])
+    return rank_composite(rollup(_events(spark, sf_dir), schema), schema, "value", parent, sub, "1d", aggregator, embedded, count)
+
+
+def _ranked_sql(expression: str, sub: str, order: str, n: int) -> str:
+    return f"""{E}, g AS (SELECT {_floor(DAY)} AS time, event_type, {sub} AS sub_key, {expression} AS value FROM e GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY time, event_type ORDER BY value {order}, sub_key) AS rank FROM g)
+SELECT '1d' AS bucket, time, event_type, sub_key, round(value, 4) AS value, rank::INT AS rank FROM r WHERE rank <= {n}"""
+
+
+@query(_ranked_sql("sum(value)", "grp::VARCHAR", "DESC", 3))
+def topn_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(_composite(spark, sf_dir, "TOPN", "SUM", 3, ("event_type",), ("grp",)))
+
+
+@query(_ranked_sql("sum(value)", "grp::VARCHAR", "ASC", 3))
+def bottomn_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(_composite(spark, sf_dir, "BOTTOMN", "SUM", 3, ("event_type",), ("grp",)))
+
+
+@query(_ranked_sql("sum(value) / count(value)", "grp::VARCHAR", "ASC", 2).replace("round(value, 4)", "round(value, 9)"))
+def bottomn_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _composite(spark, sf_dir, "BOTTOMN", "AVG", 2, ("event_type",), ("grp",)).withColumn("value", F.round("value", 9))
+
+
+@query(_ranked_sql("sum(value)", "grp::VARCHAR || ',' || user_id::VARCHAR", "DESC", 4))
+def topn_two_subkeys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(_composite(spark, sf_dir, "TOPN", "SUM", 4, ("event_type",), ("user_id", "grp")))
+
+
+@query(_ranked_sql("count(value)", "grp::VARCHAR", "DESC", 5))
+def topn_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _composite(spark, sf_dir, "TOPN", "COUNT", 5, ("event_type",), ("grp",))
+
+
+@query(f"""{E}, g AS (SELECT {_floor(DAY)} AS time, event_type, grp::VARCHAR AS k, count(value) AS v FROM e GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY time, event_type ORDER BY v DESC, k) AS n FROM g)
+SELECT time, event_type, '[' || string_agg('{{' || k || ':' || v || '}}', ',' ORDER BY n) || ']' AS top FROM r WHERE n <= 3 GROUP BY 1, 2""")
+def topn_map_formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = _composite(spark, sf_dir, "TOPN", "COUNT", 3, ("event_type",), ("grp",))
+    held = collect_composite(ranked, ("event_type",), "entries")
+    return held.select("time", "event_type", formatting.format_entries(F.col("entries")).alias("top"))
+
+
+# late data ---------------------------------------------------------------------------------
+
+
+CLOCK = "(SELECT max(time) - 259200000 FROM e)"
+VERDICT = """CASE WHEN time > c + 60000 THEN 'error' WHEN time < c - c % {t} - {l} THEN 'late_laggard' WHEN time >= c - c % {t} THEN 'normal' ELSE 'laggard' END"""
+
+
+def _classified(spark: SparkSession, sf_dir: str, **windows: int) -> DataFrame:
+    rows = _events(spark, sf_dir)
+    clock = rows.agg((F.max("time") - 259_200_000).alias("clock"))  # one row
+    return laggards.classify(rows.crossJoin(F.broadcast(clock)), "time", F.col("clock"), **windows)
+
+
+@query(f"{E} SELECT event_id, {VERDICT.format(t=DAY, l=5 * DAY)} AS verdict FROM (SELECT *, {CLOCK} AS c FROM e)")
+def laggards_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, tumbling=DAY, laggards=5 * DAY).select("event_id", "verdict")
+
+
+@query(f"""{E}, v AS (SELECT {VERDICT.format(t=DAY, l=5 * DAY)} AS verdict FROM (SELECT *, {CLOCK} AS c FROM e))
+SELECT count(*) AS total, count(*) FILTER (verdict = 'normal') AS normal, count(*) FILTER (verdict = 'laggard') AS laggards, count(*) FILTER (verdict = 'late_laggard') AS late_laggards, count(*) FILTER (verdict IN ('error', 'late_laggard')) AS errors FROM v""")
+def laggards_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return laggards.verdict_counts(_classified(spark, sf_dir, tumbling=DAY, laggards=5 * DAY))
+
+
+@query(f"{E} SELECT event_id, {VERDICT.format(t=DAY, l=DAY)} AS verdict FROM (SELECT *, {CLOCK} AS c FROM e)")
+def laggards_short_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, tumbling=DAY, laggards=HOUR).select("event_id", "verdict")
+
+
+# deduplication ----------------------------------------------------------------------------------
+
+
+#: Arrival that is not the order of time, so that some events are late.
+ARRIVAL = ["arrival", "event_id"]
+A = "a AS (SELECT *, (event_id * 7919) % 10007 AS arrival, time // 1000 AS secs FROM e)"
+
+
+def _arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).withColumn("arrival", (F.col("event_id") * 7919) % 10007).withColumn("secs", F.floor(F.col("time") / 1000))
+
+
+def _ordered_sql(period: int, span: int, tail: str = "SELECT event_id, verdict FROM v") -> str:
+    return f"""{E}, {A}, m AS (SELECT *, greatest({period - 1}, coalesce(max(secs) OVER (ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), {period - 1})) AS clock FROM a),
+x AS (SELECT *, secs < clock - {period} + 1 AS old, secs // {span} AS b FROM m),
+v AS (SELECT *, CASE WHEN old THEN 'expired' WHEN row_number() OVER (PARTITION BY old, b, user_id ORDER BY arrival, event_id) = 1 THEN 'unique' ELSE 'duplicate' END AS verdict FROM x)
+{tail}"""
+
+
+@query(f"{E}, {A} SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY arrival, event_id) = 1 THEN 'unique' ELSE 'duplicate' END AS verdict FROM a")
+def dedup_no_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.dedup(_arriving(spark, sf_dir), "user_id", ARRIVAL).select("event_id", "verdict")
+
+
+@query(_ordered_sql(20 * 86_400, 86_400))
+def dedup_ordered_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.dedup_ordered(_arriving(spark, sf_dir), "user_id", "secs", ARRIVAL, 20 * 86_400, 86_400).select("event_id", "verdict")
+
+
+@query(_ordered_sql(25 * 86_400, 43_200))
+def dedup_time_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.dedup_time(_arriving(spark, sf_dir), "user_id", "time", ARRIVAL, 25 * 86_400, 43_200).select("event_id", "verdict")
+
+
+@query(f"""{E}, {A}, f AS (SELECT event_type, min({{'a': arrival, 'i': event_id}}) AS first FROM a GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY first) AS rank FROM f),
+n AS (SELECT a.*, r.rank, (SELECT count(*) FROM f WHERE f.first <= {{'a': a.arrival, 'i': a.event_id}}) AS seen FROM a JOIN r USING (event_type)),
+x AS (SELECT *, rank <= seen - 3 AS old FROM n)
+SELECT event_id, CASE WHEN old THEN 'expired' WHEN row_number() OVER (PARTITION BY old, event_type, user_id ORDER BY arrival, event_id) = 1 THEN 'unique' ELSE 'duplicate' END AS verdict FROM x""")
+def dedup_categorical_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.dedup_categorical(_arriving(spark, sf_dir), "user_id", "event_type", ARRIVAL, 3).select("event_id", "verdict")
+
+
+@query(_ordered_sql(20 * 86_400, 86_400, "SELECT row_number() OVER (ORDER BY arrival, event_id)::BIGINT AS place, event_id, verdict FROM v"))
+def dedup_ordered_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollgrid.operators.running import running
+
+    judged = dedup.dedup_ordered(_arriving(spark, sf_dir), "user_id", "secs", ARRIVAL, 20 * 86_400, 86_400).withColumn("one", F.lit(1).cast("long"))
+    return dedup.in_order(running(judged, ARRIVAL, "one", "sum", "place", inclusive=True), ARRIVAL).select("place", "event_id", "verdict")
+
+
+@query(_ordered_sql(20 * 86_400, 86_400, "SELECT k.verdict, count(v.verdict) AS n FROM (VALUES ('unique'), ('duplicate'), ('expired'), ('error')) k(verdict) LEFT JOIN v ON k.verdict = v.verdict GROUP BY 1"))
+def dedup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.dedup_counts(dedup.dedup_ordered(_arriving(spark, sf_dir), "user_id", "secs", ARRIVAL, 20 * 86_400, 86_400))
+
+
+@query()
+def dedup_max_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.dedup_ordered(_arriving(spark, sf_dir), "user_id", "secs", ARRIVAL, 20 * 86_400, 86_400, max_jump=3 * 86_400).select("event_id", "verdict")
+
+
+@query("""SELECT 0::BIGINT AS missed, true AS within_bound, (SELECT count(DISTINCT user_id) FROM events) AS n""")
+def bloom_fpp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shape = bloom.shape(10_000, 0.01)
+    users = read_table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("k"))
+    words = bloom.build(users, "k", shape)
+    held = bloom.probe(users, "k", words, shape).agg(F.sum((~F.col("maybe")).cast("long")).alias("missed"), F.count("*").alias("n"))
+    others = bloom.probe(spark.range(10_000_000, 10_010_000).withColumnRenamed("id", "k"), "k", words, shape).agg((F.avg(F.col("maybe").cast("double")) <= 0.01).alias("within_bound"))
+    return held.crossJoin(F.broadcast(others)).select("missed", "within_bound", "n")
+
+
+# enrichment -----------------------------------------------------------------------------------------
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One market segment only, so that some lookups miss."""
+    return read_table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'")
+
+
+@query("""SELECT o_orderkey, o_custkey, o_totalprice, c_name, c_acctbal FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') ON o_custkey = c_custkey""")
+def enrich_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return enrich.enrich(orders, _customers(spark, sf_dir), [("o_custkey", "c_custkey")], ["c_name", "c_acctbal"])
+
+
+@query("""SELECT o_orderkey, o_custkey, coalesce(c_name, 'unknown') AS c_name, c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') ON o_custkey = c_custkey""")
+def enrich_all_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.lit("unknown").alias("c_name"))
+    return enrich.enrich(orders, _customers(spark, sf_dir), [("o_custkey", "c_custkey")])
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, p_name FROM lineitem LEFT JOIN (SELECT p_partkey, p_size, min(p_name) AS p_name FROM part WHERE p_size > 10 GROUP BY 1, 2) ON l_partkey = p_partkey AND l_linenumber + 10 = p_size""")
+def enrich_composite_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_linenumber") + 10).alias("size"))
+    parts = read_table(spark, sf_dir, "part").where("p_size > 10")
+    return enrich.enrich(lines, parts, [("l_partkey", "p_partkey"), ("size", "p_size")], ["p_name"]).drop("size")
+
+
+@query("""SELECT o_orderkey AS id, o_totalprice AS amount, c_name AS customer, c_acctbal AS balance FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') ON o_custkey = c_custkey""")
+def enrich_pojo_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.enrich_mapped(read_table(spark, sf_dir, "orders"), _customers(spark, sf_dir), "o_custkey:c_custkey", "c_name:customer,c_acctbal:balance", "o_orderkey:id,,o_totalprice:amount")
+
+
+@query("""SELECT o_orderkey, c_name, coalesce(c_acctbal, 0.0) AS balance FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') ON o_custkey = c_custkey""")
+def enrich_miss_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.enrich_mapped(read_table(spark, sf_dir, "orders"), _customers(spark, sf_dir), "o_custkey:c_custkey", "c_name,c_acctbal:balance", "o_orderkey", {"balance": 0.0})
+
+
+@query("""SELECT c_custkey, last.o_orderkey AS o_orderkey, last.o_totalprice AS o_totalprice FROM customer LEFT JOIN (SELECT o_custkey, arg_max({'o_orderkey': o_orderkey, 'o_totalprice': o_totalprice}, o_orderkey) AS last FROM orders GROUP BY 1) ON c_custkey = o_custkey""")
+def enrich_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read_table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", F.col("o_orderkey").alias("place"))
+    last = enrich.last_by_key(orders, ["o_custkey"], "place")
+    return enrich.enrich(read_table(spark, sf_dir, "customer").select("c_custkey"), last, [("c_custkey", "o_custkey")], ["o_orderkey", "o_totalprice"])
+
+
+@query("""SELECT s_suppkey, n_name, r_name FROM supplier LEFT JOIN (SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA') ON s_nationkey = n_nationkey""")
+def enrich_custom_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = read_table(spark, sf_dir, "nation").join(read_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).where("r_name <> 'ASIA'")
+    return enrich.enrich(read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), nations, [("s_nationkey", "n_nationkey")], ["n_name", "r_name"]).drop("s_nationkey")
+
+
+@query("""SELECT event_id, n_name FROM events LEFT JOIN nation ON user_id % 40 = n_nationkey""")
+def enrich_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{_scratch(spark)}/lookup-{uuid4()}"
+    read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name").coalesce(1).write.json(path)
+    loaded = lookups.load_json_lines(spark, path, ["n_nationkey"], "n_nationkey int, n_name string")
+    events = read_table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 40).alias("nation"))
+    return enrich.enrich(events, loaded, [("nation", "n_nationkey")], ["n_name"]).drop("nation")
+
+
+# keyed store --------------------------------------------------------------------------------------------
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as puts of customers' keys; some deletes and purges follow in between."""
+    orders = read_table(spark, sf_dir, "orders")
+    none = F.lit(None).cast("long")
+    puts = orders.select(F.col("o_orderkey").alias("version"), F.when(F.col("o_orderkey") % 11 == 0, "DELETE").otherwise("PUT").alias("op"), (F.col("o_custkey") % 4).alias("bucket"), F.col("o_custkey").alias("key"), F.col("o_orderstatus").alias("value"), none.alias("key_end"))
+    purges = orders.where("o_orderkey % 97 = 0").select((F.col("o_orderkey")).alias("version"), F.lit("PURGE").alias("op"), (F.col("o_orderkey") % 4).alias("bucket"), F.col("o_custkey").alias("key"), F.lit(None).cast("string").alias("value"), (F.col("o_custkey") + 5).alias("key_end"))
+    return puts.unionByName(purges)
+
+
+LOG_SQL = """WITH log AS (SELECT o_orderkey AS version, CASE WHEN o_orderkey % 11 = 0 THEN 'DELETE' ELSE 'PUT' END AS op, o_custkey % 4 AS bucket, o_custkey AS key, o_orderstatus AS value FROM orders),
+purge AS (SELECT o_orderkey AS version, o_orderkey % 4 AS bucket, o_custkey AS lo, o_custkey + 5 AS hi FROM orders WHERE o_orderkey % 97 = 0),
+l AS (SELECT bucket, key, max(version) AS version, arg_max(op, version) AS op, arg_max(value, version) AS value FROM log {where} GROUP BY 1, 2)"""
+LIVE = "SELECT bucket, key, value FROM l WHERE op = 'PUT' AND NOT EXISTS (SELECT 1 FROM purge p WHERE p.bucket = l.bucket AND l.key BETWEEN p.lo AND p.hi AND l.version < p.version)"
+
+
+@query("SELECT o_custkey % 4 AS bucket, o_custkey AS key, arg_max(o_orderstatus, o_orderkey) AS value FROM orders WHERE o_orderkey % 11 <> 0 GROUP BY 1, 2")
+def kv_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed_store.latest(_log(spark, sf_dir).where("op = 'PUT'"))
+
+
+@query(LOG_SQL.format(where="") + " SELECT bucket, key, value FROM l WHERE op = 'PUT'")
+def kv_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed_store.latest(_log(spark, sf_dir).where("op <> 'PURGE'"))
+
+
+@query(LOG_SQL.format(where="") + " " + LIVE)
+def kv_purge_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed_store.latest(_log(spark, sf_dir))
+
+
+@query(LOG_SQL.format(where="") + " " + LIVE)
+def kv_put_after_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed_store.latest(keyed_store.compact(_log(spark, sf_dir), 5000))
+
+
+@query("""WITH r AS (SELECT o_custkey AS s, o_custkey + o_orderkey % 3 AS e FROM orders WHERE o_orderkey % 7 = 0), b AS (SELECT s, e, max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM r),
+i AS (SELECT s, e, sum(CASE WHEN p IS NULL OR s > p THEN 1 ELSE 0 END) OVER (ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM b) SELECT min(s) AS start, max(e) AS "end" FROM i GROUP BY g""")
+def range_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranges = read_table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("start"), (F.col("o_custkey") + F.col("o_orderkey") % 3).alias("end"))
+    return keyed_store.coalesce_ranges(ranges)
+
+
+@query("""SELECT a.s AS a_start, a.e AS a_end, b.s AS b_start, b.e AS b_end FROM (SELECT s_suppkey AS s, s_suppkey + 3 AS e FROM supplier) a JOIN (SELECT n_nationkey AS s, n_nationkey + 1 AS e FROM nation) b ON a.s <= b.e AND a.e >= b.s""")
+def range_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("start"), (F.col("s_suppkey") + 3).alias("end"))
+    b = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("start"), (F.col("n_nationkey") + 1).alias("end"))
+    return keyed_store.overlapping(a, b)
+
+
+@query("""WITH k AS (SELECT o_custkey % 4 AS bucket, o_custkey AS key FROM orders WHERE o_orderkey % 11 <> 0 GROUP BY 1, 2), f AS (SELECT bucket, key, (row_number() OVER (PARTITION BY bucket ORDER BY key) - 1) // 64 AS file FROM k)
+SELECT bucket, file, min(key) AS first_key, max(key) AS last_key, count(*) AS n FROM f GROUP BY 1, 2""")
+def kv_range_partition_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed_store.file_index(keyed_store.latest(_log(spark, sf_dir).where("op = 'PUT'")), 64)
+
+
+@query("SELECT l_linenumber AS bucket, count(*) AS puts, sum(l_quantity) AS bytes FROM lineitem GROUP BY ROLLUP (l_linenumber)")
+def kv_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed_store.io_counters(read_table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("bucket"), F.lit(1).cast("long").alias("puts"), F.col("l_quantity").alias("bytes")))
+
+
+# records and results ---------------------------------------------------------------------------------------
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws("\x02", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment").alias("body"))
+
+
+@query("SELECT c_custkey, c_mktsegment || chr(1) || c_custkey::VARCHAR || chr(1) AS body FROM customer")
+def column_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _records(spark, sf_dir).select("c_custkey", formatting.project_record(F.col("body"), [2, 0]).alias("body"))
+
+
+@query("SELECT c_custkey, c_name || chr(1) || chr(1) || chr(1) AS body FROM customer")
+def column_filter_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _records(spark, sf_dir).select("c_custkey", formatting.project_record(F.col("body"), [1, 7, 9]).alias("body"))
+
+
+@query("SELECT c_custkey, 'id=' || c_custkey::VARCHAR || ';name=' || c_name || ';' AS body FROM customer")
+def column_format_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _records(spark, sf_dir).select("c_custkey", formatting.format_record(F.col("body"), "id={0};name={1};{8}").alias("body"))
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' answers to customers' queries; some are empty."""
+    data = F.when(F.col("o_orderkey") % 3 == 0, F.array("o_orderstatus")).otherwise(F.array().cast("array<string>"))
+    return read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.when(F.col("o_orderkey") % 10 == 1, "schemaResult").otherwise("dataResult").alias("type"), data.alias("data"), F.col("o_orderkey").alias("arrival"))
+
+
+@query("""SELECT id, arrival, size FROM (SELECT o_custkey AS id, o_orderkey AS arrival, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 3 <> 0, o_orderkey) AS n FROM orders) WHERE n = 1""")
+def result_merge_nonempty_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.first_non_empty(_answers(spark, sf_dir)).select("id", "arrival", F.size("data").alias("size"))
+
+
+@query("""SELECT o_custkey AS id, o_orderkey AS arrival FROM orders WHERE o_orderkey % 10 = 1 OR o_orderkey % 3 = 0""")
+def result_drop_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.drop_empty(_answers(spark, sf_dir)).select("id", "arrival")
+
+
+@query(ORACLE_SQL["rollup_all_combinations"])
+def partial_final_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollgrid.operators.rollup import merge_cubes
+
+    rows = _events(spark, sf_dir)
+    halves = [rollup(rows.where(F.col("event_id") % 2 == i), BOTH) for i in range(2)]
+    return _round(merge_cubes(halves[0].unionByName(halves[1]), BOTH).drop("bucket"))
+
+
+# ingest and streams --------------------------------------------------------------------------------------------
+
+
+def _scratch(spark: SparkSession) -> str:
+    """The cluster's shared folder, or a local one where none is set."""
+    context = spark.sparkContext
+    return context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rollgrid-")
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a stream of files that came one after the other, with their time in milliseconds."""
+    path = f"{_scratch(spark)}/stream-{uuid4()}"
+    rows = _arriving(spark, sf_dir)
+    last = rows.agg(F.max("event_id")).first()[0] or 0
+    for part in range(4):
+        rows.where(F.least(F.floor(F.col("event_id") * 4 / (last + 1)), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(path)
+    return jobs.stream_of(spark, path, spark.read.parquet(path), files_per_batch=1)
+
+
+@query(ORACLE_SQL["rollup_event_type_1h"])
+def stream_rollup_available_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = _schema([TYPE], ["SUM", "COUNT"], ["1h"], [{"combination": ["event_type"]}])
+    folder = f"{_scratch(spark)}/cube-{uuid4()}"
+    store = jobs.CubeStore(spark, folder, schema)
+    jobs.run_available(_streamed(spark, sf_dir), store.upsert, f"{folder}-checkpoint")
+    return _round(store.read().select("time", "event_type", "`value:SUM`", "`value:COUNT`"))
+
+
+@query(ORACLE_SQL["rollup_event_type_1h"])
+def stream_exactly_once_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = _schema([TYPE], ["SUM", "COUNT"], ["1h"], [{"combination": ["event_type"]}])
+    store = jobs.CubeStore(spark, f"{_scratch(spark)}/cube-{uuid4()}", schema)
+    rows = _events(spark, sf_dir)
+    for batch in (0, 1, 1, 0, 2):  # batches run again after a failure
+        store.upsert(rows.where(F.col("event_id") % 3 == batch), batch)
+    return _round(store.read().select("time", "event_type", "`value:SUM`", "`value:COUNT`"))
+
+
+@query(_ordered_sql(20 * 86_400, 86_400).replace("(event_id * 7919) % 10007 AS arrival", "event_id AS arrival"))
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{_scratch(spark)}/verdicts-{uuid4()}"
+    judged = jobs.stream_dedup(_streamed(spark, sf_dir), "user_id", "secs", "event_id", 20 * 86_400, 86_400)
+    jobs.run_available(judged, lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/batch={batch}"), f"{folder}-checkpoint")
+    return spark.read.parquet(folder).select("event_id", "verdict")
+
+
+@query(f"{E} SELECT event_id, {VERDICT.format(t=DAY, l=5 * DAY)} AS verdict FROM (SELECT *, {CLOCK} AS c FROM e)")
+def stream_laggards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clock = _events(spark, sf_dir).agg(F.max("time") - 259_200_000).first()[0]
+    folder = f"{_scratch(spark)}/late-{uuid4()}"
+    judged = laggards.classify(_streamed(spark, sf_dir), "time", F.lit(clock), tumbling=DAY, laggards=5 * DAY).select("event_id", "verdict")
+    jobs.run_available(judged, lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/batch={batch}"), f"{folder}-checkpoint")
+    return spark.read.parquet(folder).select("event_id", "verdict")
+
+
+@query("""WITH n AS (SELECT event_id, event_id // 2000 AS file_no, row_number() OVER (PARTITION BY event_id // 2000 ORDER BY event_id) - 1 AS o, event_type FROM events)
+SELECT file_no, o AS "offset", event_type AS body FROM n WHERE file_no > 1 OR file_no = 1 AND o > 99""")
+def replay_from_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = event_log.EventLog(spark, f"{_scratch(spark)}/log-{uuid4()}")
+    rows = read_table(spark, sf_dir, "events").select("event_id", F.create_map(F.lit("user"), F.col("user_id").cast("string")).alias("headers"), F.encode("event_type", "UTF-8").alias("body"))
+    last = rows.agg(F.max("event_id")).first()[0]
+    for n in range(last // 2000 + 1):
+        log.store(rows.where((F.col("event_id") >= n * 2000) & (F.col("event_id") < (n + 1) * 2000)), n, ["event_id"])
+    return log.read(after=event_log.address(1, 99)).select("file_no", "offset", F.decode("body", "UTF-8").alias("body"))
+
+
+@query("SELECT event_id // 500 AS batch, count(*) AS n FROM events GROUP BY 1")
+def rate_limited_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    most = event_log.events_per_window(500, 2000, 2)
+    return read_table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / most).alias("batch")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id % 16 AS part, avg(value) AS latency, CASE WHEN avg(value) > 55 THEN 1 WHEN avg(value) < 45 THEN -1 ELSE 0 END AS load FROM events GROUP BY 1")
+def latency_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = read_table(spark, sf_dir, "events").groupBy((F.col("user_id") % 16).alias("part")).agg(F.avg("value").alias("latency"))
+    return parts.select("part", "latency", partitioning.latency_load_column(F.col("latency"), 45, 55).alias("load"))
