@@ -20,15 +20,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollgrid.llm.common import once, ship_code
+from rollgrid.llm.common import checkpointed, once, ship_code
 from rollgrid.llm.lexicon import Lexicon, compile_lexicon, mapped
+from rollgrid.llm.topk import kth_largest
 
 #: The public pattern by which byte-level BPE parts a text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Words of the lexicon, and words whose ids a worker remembers at a time.
 LEXICON_WORDS = 32_768
-MEMORY = 400_000
+#: Occurrences that make a word frequent, at least.
+AT_LEAST = 4
+MEMORY = 300_000
 #: Ids that are decoded at a time.
 CHUNK = 1 << 16
 
@@ -200,11 +203,19 @@ def _newer_letters() -> frozenset[str]:
     return frozenset(c for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]) if unicodedata.category(c) == "Cn" and known.match(c))
 
 
-def frequent_words(docs: DataFrame, n: int = LEXICON_WORDS) -> list[str]:
-    """The n most frequent words of all texts, with a leading blank if they have one."""
+def frequent_words(docs: DataFrame, n: int = LEXICON_WORDS, at_least: int = AT_LEAST) -> list[str]:
+    """The n most frequent words of all texts, with a leading blank if they have one.
+
+    Words of fewer than at_least occurrences are not frequent; words that tie for
+    the last places are left out, so no more than n rows ever reach the driver.
+    """
     words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r" ?\p{L}+"), F.lit(0))).alias("word"))
-    counts = words.groupBy("word").count()
-    return [r["word"] for r in counts.orderBy(F.desc("count"), "word").limit(n).collect()]  # n rows
+    counts = checkpointed(words.groupBy("word").count().where(F.col("count") >= at_least))
+    least = kth_largest(counts, "count", n)
+    held = counts.where(F.col("count") >= F.lit(least))
+    if held.count() > n:
+        held = counts.where(F.col("count") > F.lit(least))
+    return [r["word"] for r in held.orderBy(F.desc("count"), "word").collect()]  # at most n rows
 
 
 def build_lexicon(docs: DataFrame, definition: str, n: int = LEXICON_WORDS) -> bytes:

@@ -67,7 +67,7 @@ _built: dict[str, object] = {}
 def once(key: str, build):
     """What build() gives, made once in a worker process for each key; few are held."""
     if key not in _built:
-        while len(_built) >= 3:
+        while len(_built) >= 2:
             _built.pop(next(iter(_built)))
         _built[key] = build()
     return _built[key]
