@@ -32,7 +32,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """node, component: the least node reachable, for every node of an edge.
 
-    Nodes are integers; loops, repeated edges and either direction are fine, and
+    Nodes are integers, or structs of them without nulls; loops, repeated edges and either direction are fine, and
     edges with a null end are left out. No edges give no rows.
     """
     now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") != F.col("b")))

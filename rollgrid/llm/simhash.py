@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollgrid.llm.common import checkpointed, order_id, ship_code, text_key
+from rollgrid.llm.common import NULL_ID_LAST, checkpointed, order_id, ship_code, text_key
 from rollgrid.llm.components import connected_components
 
 #: Shingles hashed at a time; bounds the memory for one very long text.
@@ -71,13 +71,16 @@ def _masks(radius: int, blocks: int) -> list[int]:
 
 
 def links(distinct: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
-    """a < b: every two of the distinct fingerprints (column fp) at most radius bits apart."""
+    """a < b: the nodes (id, fp) of every two fingerprints at most radius bits apart.
+
+    distinct: id, fp, each fingerprint once.
+    """
     if not 0 <= radius < blocks <= 64:
         raise ValueError("radius must be below the number of blocks")
     choices = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(_masks(radius, blocks))])
-    keyed = distinct.select("fp", F.explode(choices).alias("k")).select("fp", "k.choice", "k.part")
-    left, right = keyed.select(F.col("fp").alias("a"), "choice", "part"), keyed.select(F.col("fp").alias("b"), "choice", "part")
-    near = left.join(right, ["choice", "part"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
+    keyed = distinct.select(F.struct("id", "fp").alias("node"), F.explode(choices).alias("k")).select("node", "k.choice", "k.part")
+    left, right = keyed.select(F.col("node").alias("a"), "choice", "part"), keyed.select(F.col("node").alias("b"), "choice", "part")
+    near = left.join(right, ["choice", "part"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius))
     return near.select("a", "b").distinct()
 
 
@@ -85,18 +88,19 @@ def simhash_components(docs: DataFrame, radius: int = 3, blocks: int = 6, words_
     """doc_id, text_key, fp, component_id, label, for each row of docs (doc_id, text).
 
     component_id is the least doc_id reachable through links, a row's own
-    included; null only if no row of its component has an id. label is the least
-    fingerprint of the component. Null texts count as
-    texts without words (fingerprint 0, linked like any other); repeated rows each
-    return; an empty table gives none.
+    included; null only if no row of its component has an id. label is the
+    component's node of the least (doc_id, fingerprint), null ids last. Null texts
+    count as texts without words (fingerprint 0, linked like any other); repeated
+    rows each return; an empty table gives none.
     """
     rows = checkpointed(fingerprints(docs, words_per_shingle))
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    stars = connected_components(links(nodes.select("fp"), radius, blocks), "a", "b")
-    labelled = nodes.join(stars, nodes["fp"] == stars["node"], "left").select("fp", "least_id", F.coalesce("component", "fp").alias("label"))
-    named = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    by_fp = labelled.join(named, "label").select("fp", "label", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", "text_key", "fp", "component_id", "label")
+    nodes = rows.groupBy("fp").agg(F.min(order_id()).alias("id"))
+    # a node carries the least id of its rows, so a component's least node names it
+    stars = connected_components(links(nodes, radius, blocks), "a", "b")
+    own = F.struct("id", "fp")
+    by_fp = nodes.join(stars.select(F.col("node.fp").alias("fp"), "component"), "fp", "left").select("fp", F.coalesce("component", own).alias("label"))
+    component_id = F.when(F.col("label.id") != NULL_ID_LAST, F.col("label.id"))
+    return rows.join(by_fp, "fp").select("doc_id", "text_key", "fp", component_id.alias("component_id"), "label")
 
 
 def near_dedup(docs: DataFrame, radius: int = 3, blocks: int = 6, words_per_shingle: int = 3) -> DataFrame:
