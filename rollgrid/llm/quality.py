@@ -100,8 +100,8 @@ def _with_parts(docs: DataFrame, sample: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"), "left").drop("label_id")  # max_labelled rows
 
 
-def count_ngrams(docs: DataFrame, sample: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Counts by bucket, of all documents and of the target."""
+def count_ngrams(docs: DataFrame, sample: DataFrame, settings: Settings) -> DataFrame:
+    """bucket, raw, target: counts of n-grams in all documents and in the target."""
     ship_code(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,20 +119,22 @@ def count_ngrams(docs: DataFrame, sample: DataFrame, settings: Settings) -> tupl
             yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(raw[own]), pa.array(target[own])], ["bucket", "raw", "target"])
 
     rows = _with_parts(docs, sample).select("part", "text").mapInArrow(run, "bucket int, raw long, target long")
-    table = rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # 2**bits rows at most
-    raw, target = np.zeros(1 << settings.bits), np.zeros(1 << settings.bits)
-    raw[table["bucket"]], target[table["bucket"]] = table["raw"], table["target"]
-    return raw, target
+    return checkpointed(rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")))
 
 
-def log_ratios(raw: np.ndarray, target: np.ndarray, settings: Settings) -> np.ndarray:
-    """Log ratio of target to raw by bucket; all zero if either is empty."""
-    if not raw.sum() or not target.sum():
-        return np.zeros(len(raw), dtype=np.float32)
-    expected = raw * (target.sum() / raw.sum())
-    ratios = np.log((target + settings.prior) / (expected + settings.prior))
-    ratios[np.abs(ratios) < settings.deadband] = 0
-    return ratios.astype(np.float32)
+def log_ratios(counts: DataFrame, settings: Settings) -> np.ndarray:
+    """Log ratio of target to raw by bucket; all zero if either is empty.
+
+    Only buckets outside the deadband come to the driver, 2**bits at most.
+    """
+    ratios = np.zeros(1 << settings.bits, dtype=np.float32)
+    raw, target = counts.agg(F.sum("raw"), F.sum("target")).first()
+    if raw and target:
+        expected = F.col("raw") * (target / raw)
+        ratio = F.log((F.col("target") + settings.prior) / (expected + settings.prior))
+        told = counts.select("bucket", ratio.cast("float").alias("ratio")).where(F.abs("ratio") >= settings.deadband).toArrow()
+        ratios[told.column("bucket").to_numpy()] = told.column("ratio").to_numpy()
+    return ratios
 
 
 def best_threshold(good: np.ndarray, bad: np.ndarray) -> float:
@@ -176,10 +178,11 @@ def _score(docs: DataFrame, sample: DataFrame, ratios: np.ndarray, settings: Set
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> tuple[Fitted, DataFrame]:
     """The fitted sampler, and doc_id, text_key, weight, sampling_key of every row of docs."""
     sample = labelled_sample(labels, settings)
-    ratios = log_ratios(*count_ngrams(docs, sample, settings), settings)
+    ratios = log_ratios(count_ngrams(docs, sample, settings), settings)
     scores = checkpointed(_score(docs, sample, ratios, settings))
-    held = scores.where(F.col("part").isin(GOOD, BAD)).groupBy("doc_id").agg(F.min("weight").alias("weight"), F.min("part").alias("part")).toPandas()  # max_labelled rows
-    good, bad = (held.loc[held["part"] == p, "weight"].to_numpy() for p in (GOOD, BAD))
+    held = scores.where(F.col("part").isin(GOOD, BAD)).groupBy("doc_id").agg(F.min("weight").alias("weight"), F.min("part").alias("part")).select("weight", "part").toArrow()  # max_labelled rows
+    weights, parts = held.column("weight").to_numpy(), held.column("part").to_numpy()
+    good, bad = weights[parts == GOOD], weights[parts == BAD]
     threshold = best_threshold(good, bad)
     spread = abs(np.median(good) - np.median(bad)) if len(good) and len(bad) else 1.0
     sharpness = float(1 / (settings.temperature * spread)) if spread else 1.0
