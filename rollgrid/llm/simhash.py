@@ -99,6 +99,7 @@ def simhash_components(docs: DataFrame, radius: int = 3, blocks: int = 6, words_
     stars = connected_components(links(nodes, radius, blocks), "a", "b")
     own = F.struct("id", "fp")
     by_fp = nodes.join(stars.select(F.col("node.fp").alias("fp"), "component"), "fp", "left").select("fp", F.coalesce("component", own).alias("label"))
+    by_fp = checkpointed(by_fp)  # so that both sides of the next join are dealt anew and hot fingerprints can be split
     component_id = F.when(F.col("label.id") != NULL_ID_LAST, F.col("label.id"))
     return rows.join(by_fp, "fp").select("doc_id", "text_key", "fp", component_id.alias("component_id"), "label")
 
