@@ -31,7 +31,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LEXICON_WORDS = 32_768
 #: Occurrences that make a word frequent, at least.
 AT_LEAST = 4
-MEMORY = 300_000
+MEMORY = 150_000
 #: Ids that are decoded at a time.
 CHUNK = 1 << 16
 

@@ -65,9 +65,14 @@ _built: dict[str, object] = {}
 
 
 def once(key: str, build):
-    """What build() gives, made once in a worker process for each key; few are held."""
+    """What build() gives, made once in a worker process for each key.
+
+    A key is "group/part"; what other groups have left is dropped first, so that a
+    worker holds no more than the operator that runs needs.
+    """
+    group = key.partition("/")[0]
+    for other in [k for k in _built if k.partition("/")[0] != group]:
+        del _built[other]
     if key not in _built:
-        while len(_built) >= 2:
-            _built.pop(next(iter(_built)))
         _built[key] = build()
     return _built[key]

@@ -231,8 +231,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, thresh
     names = ["doc_id", "item_id", "first_word", "n_words", "distance", "similarity"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
     out = None
-    for items in _blocks(benchmark, block_items):
-        sent, key = docs.sparkSession.sparkContext.broadcast(items), f"benchmark {uuid4()}"
+    group = uuid4()
+    for block, items in enumerate(_blocks(benchmark, block_items)):
+        sent, key = docs.sparkSession.sparkContext.broadcast(items), f"benchmark {group}/{block}"
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, key=key) -> Iterator[pa.RecordBatch]:
             index = once(key, lambda: Benchmark(sent.value, k, threshold, radius))
@@ -250,8 +251,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, thresho
     """The rows of docs in which find_contamination() finds no item, with all their columns."""
     ship_code(docs.sparkSession)
     packed = docs.select(F.struct("*").alias("row"))
-    for items in _blocks(benchmark, block_items):
-        sent, key = docs.sparkSession.sparkContext.broadcast(items), f"benchmark {uuid4()}"
+    group = uuid4()
+    for block, items in enumerate(_blocks(benchmark, block_items)):
+        sent, key = docs.sparkSession.sparkContext.broadcast(items), f"benchmark {group}/{block}"
 
         clean = _clean_udf(sent, key, k, threshold, radius)
         packed = packed.where(clean(F.col("row.text").cast("string")))
