@@ -8,46 +8,78 @@ are cut into ``blocks`` blocks; two such fingerprints differ in at most
 for every such choice, joined on (choice, agreeing bits), and kept where the
 distance holds. Copies of one fingerprint are one node from the start, so a
 group of copies, however large, costs one row here.
+
+``near_dedup`` finds copies by five-word shingles of similarity 0.8: fingerprints
+of whole words pick the pairs by blocks in the same way, and the Hamming distance
+of a wider SimHash sketch of the shingles verifies them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollgrid.llm.common import NULL_ID_LAST, checkpointed, order_id, ship_code, text_key
 from rollgrid.llm.components import connected_components
 
 #: Shingles hashed at a time; bounds the memory for one very long text.
-CHUNK = 200_000
+CHUNK = 50_000
+#: Bits of the sketch that verifies a pair, and the most that may differ: five-word
+#: shingles of similarity 0.8 differ in 39 of 256 on average, with a deviation of 6.
+SKETCH_BITS, SKETCH_RADIUS = 256, 44
 
 
-def fingerprint(text: str | None, words_per_shingle: int = 3, seed: int = 42) -> int:
-    """Unsigned 64 bits; 0 for a text without words.
+def words_of(text: str | None) -> list[bytes]:
+    """Runs of anything but ASCII white space, A-Z in lower case."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
-    ASCII letters count as lower case. Words are runs of anything but ASCII white
-    space; a text with fewer words than a shingle is one shingle.
-    """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+def majority(words: list[bytes], words_per_shingle: int, digest: Callable[[bytes], bytes], bits: int) -> bytes:
+    """The bits set in over half the digests of the shingles; zero without words, one shingle if there are too few."""
     if not words:
-        return 0
+        return bytes(bits // 8)
     joined = b" ".join(words)
     k = min(words_per_shingle, len(words))
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts, ends = (ends - lengths)[: len(words) - k + 1], ends[k - 1 :]
-    ones = np.zeros(64, dtype=np.int64)
-    digest = xxhash.xxh64_digest
+    ones = np.zeros(bits, dtype=np.int64)
     for at in range(0, len(starts), CHUNK):
-        hashes = b"".join([digest(joined[s:e], seed) for s, e in zip(starts[at : at + CHUNK].tolist(), ends[at : at + CHUNK].tolist())])
-        ones += np.unpackbits(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big")
+        hashes = b"".join([digest(joined[s:e]) for s, e in zip(starts[at : at + CHUNK].tolist(), ends[at : at + CHUNK].tolist())])
+        ones += np.unpackbits(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, bits // 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(starts)).tobytes()
+
+
+def fingerprint(text: str | None, words_per_shingle: int = 3, seed: int = 42) -> int:
+    """Unsigned 64 bits; 0 for a text without words."""
+    return int.from_bytes(majority(words_of(text), words_per_shingle, lambda s: xxhash.xxh64_digest(s, seed), 64), "big")
+
+
+def word_fingerprint(words: list[bytes], seed: int = 42) -> bytes:
+    """64 bits of a text's words, each weighted by the logarithm of its count, in whole numbers so that sums are exact."""
+    counts = list(Counter(words).items())
+    sums = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(counts), CHUNK):
+        part = counts[at : at + CHUNK]
+        bits = np.unpackbits(np.frombuffer(b"".join([xxhash.xxh64_digest(w, seed) for w, _ in part]), dtype=np.uint8).reshape(-1, 8), axis=1)
+        weights = np.rint(16 * np.log2(1 + np.fromiter((n for _, n in part), dtype=np.int64, count=len(part)))).astype(np.int64)
+        sums += weights @ (2 * bits.astype(np.int64) - 1)
+    return np.packbits(sums > 0).tobytes()
+
+
+def sketch(words: list[bytes], words_per_shingle: int = 5) -> bytes:
+    """SKETCH_BITS bits of the shingles of a text."""
+    halves = range(SKETCH_BITS // 128)
+    return majority(words, words_per_shingle, lambda s: b"".join([xxhash.xxh3_128_digest(s, h) for h in halves]), SKETCH_BITS)
 
 
 def fingerprints(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -104,15 +136,68 @@ def simhash_components(docs: DataFrame, radius: int = 3, blocks: int = 6, words_
     return rows.join(by_fp, "fp").select("doc_id", "text_key", "fp", component_id.alias("component_id"), "label")
 
 
-def near_dedup(docs: DataFrame, radius: int = 3, blocks: int = 6, words_per_shingle: int = 3) -> DataFrame:
-    """docs with one row for each component: its least (doc_id, text digest), null ids last.
+SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
+
 
-    Rows that agree in doc_id and text are one document, of which one row stays.
-    All columns stay as they are.
+def _sketched(docs: DataFrame, words_per_shingle: int) -> DataFrame:
+    """id, key, fp for each row, and the sketch of its shingles as longs; fp is the fingerprint of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, sketches = bytearray(), bytearray()
+            for text in batch.column("text"):
+                words = words_of(text.as_py())
+                prints += word_fingerprint(words)
+                sketches += sketch(words, words_per_shingle)
+            longs = np.frombuffer(sketches, dtype=">i8").astype(np.int64).reshape(-1, len(SKETCH))
+            found = [np.frombuffer(prints, dtype=">i8").astype(np.int64), *longs.T]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), *map(pa.array, found)], ["id", "key", "fp", *SKETCH])
+
+    ship_code(docs.sparkSession)
+    rows = docs.select(order_id().alias("id"), text_key().alias("key"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("id", "key", "fp", *SKETCH)))
+
+
+def _sketch_distance(a: str, b: str) -> Column:
+    """Differing bits of two sketches, whose columns begin with a and b."""
+    return reduce(add, [F.bit_count(F.col(a + s).bitwiseXOR(F.col(b + s))) for s in SKETCH])
+
+
+def near_groups(docs: DataFrame, sketch_radius: int = SKETCH_RADIUS, words_per_shingle: int = 5, radius: int = 4, blocks: int = 7) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, key) of distinct texts, and node, component of those that are linked (structs of id and key).
+
+    Two texts are linked where the fingerprints of their words agree on
+    ``blocks - radius`` blocks, as all within radius bits do, and the sketches of
+    their shingles differ in at most sketch_radius bits. Words change less than
+    shingles when a text is edited, so that near copies share blocks; shingles
+    tell whether they are near copies. Texts of one fingerprint are first held
+    against the least of them and, if linked, are its node: a group of copies is
+    few nodes.
+    """
+    texts = checkpointed(_sketched(docs, words_per_shingle).groupBy("fp", *SKETCH).agg(F.min(F.struct("id", "key")).alias("node")))
+    heads = checkpointed(texts.groupBy("fp").agg(F.min(F.struct("node", *SKETCH)).alias("head")))
+    own = (F.col("node") == F.col("head.node")) | (_sketch_distance("", "head.") > sketch_radius)
+    nodes = checkpointed(texts.join(heads, "fp").where(own).select("node.id", "node.key", "fp", *SKETCH))
+    choices = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(_masks(radius, blocks))])
+    keyed = nodes.select("id", "key", *SKETCH, F.explode(choices).alias("block"))
+    left, right = (keyed.select("block", *(F.col(c).alias(side + c) for c in ("id", "key", *SKETCH))) for side in ("a_", "b_"))
+    a, b = F.struct(F.col("a_id").alias("id"), F.col("a_key").alias("key")), F.struct(F.col("b_id").alias("id"), F.col("b_key").alias("key"))
+    near = left.join(right, "block").where((a < b) & (_sketch_distance("a_", "b_") <= sketch_radius))
+    return nodes.select("id", "key"), connected_components(near.select(a.alias("a"), b.alias("b")).distinct(), "a", "b")
+
+
+def near_dedup(docs: DataFrame, sketch_radius: int = SKETCH_RADIUS, words_per_shingle: int = 5, radius: int = 4, blocks: int = 7) -> DataFrame:
+    """docs with one row for each group of near copies: its least (doc_id, text digest), null ids last.
+
+    Groups are the components of near_groups(). Texts without words are copies of
+    each other; texts of fewer words than a shingle are one shingle, so that only
+    equal ones are copies. Rows that agree in doc_id and text are one document, of
+    which one row stays. All columns stay as they are; an empty table gives none.
     """
-    found = simhash_components(docs, radius, blocks, words_per_shingle)
-    first = found.groupBy("label").agg(F.min(F.struct(order_id().alias("id"), F.col("text_key").alias("key"))).alias("first"))
-    keep = first.select(F.col("first.id").alias("keep_id"), F.col("first.key").alias("keep_key"))
+    nodes, stars = near_groups(docs, sketch_radius, words_per_shingle, radius, blocks)
+    # a node is the least of its texts, and a component's name its least node
+    copies = stars.where("node != component").select(F.col("node.id").alias("id"), F.col("node.key").alias("key"))
+    keep = nodes.join(copies, ["id", "key"], "left_anti").select(F.col("id").alias("keep_id"), F.col("key").alias("keep_key"))
     packed = docs.select(F.struct("*").alias("row"), order_id().alias("row_id"), text_key().alias("row_key"))
     kept = packed.join(keep, (packed["row_id"] == keep["keep_id"]) & (packed["row_key"] == keep["keep_key"]), "left_semi")
     return kept.dropDuplicates(["row_id", "row_key"]).select("row.*")

@@ -58,6 +58,27 @@ def test_near_dedup(spark):
     assert simhash.near_dedup(no_docs(spark)).count() == 0
 
 
+def test_near_dedup_takes_shingle_similarity(spark):
+    rng = random.Random(3)
+    base = [[f"w{rng.randrange(900)}" for _ in range(300)] for _ in range(8)]
+    rows, group = [], {}
+    for g, words in enumerate(base):
+        for edits in (0, 1, 2, 3):
+            own = list(words)
+            for at in rng.sample(range(300), edits):
+                own[at] = f"edit{rng.randrange(900)}"
+            group[len(rows)] = g
+            rows.append((len(rows), " ".join(own)))
+    far = []
+    for words in base:
+        order = [words[i : i + 2] for i in range(0, 300, 2)]  # the same words in another order
+        rng.shuffle(order)
+        far += [" ".join(sum(order, [])), " ".join(words[:150] + [f"x{rng.randrange(900)}" for _ in range(150)])]
+    rows += [(len(rows) + i, t) for i, t in enumerate(far)]
+    kept = sorted(r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == [i for i in group if i % 4 == 0] + list(range(len(group), len(rows)))
+
+
 def test_long_chain_is_one_component(spark):
     from rollgrid.llm.components import connected_components
 
