@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import partial, reduce
 from itertools import combinations
 from operator import add
 
@@ -172,18 +172,37 @@ def near_groups(docs: DataFrame, sketch_radius: int = SKETCH_RADIUS, words_per_s
     shingles when a text is edited, so that near copies share blocks; shingles
     tell whether they are near copies. Texts of one fingerprint are first held
     against the least of them and, if linked, are its node: a group of copies is
-    few nodes.
+    few nodes. Of the pairs in a block, those with its least node are looked at
+    first; where that leaves a block in one component, nothing more is to be found
+    in it, and of other blocks only pairs of two components are emitted. So a large
+    group of different near copies makes about as many rows as it has nodes.
     """
     texts = checkpointed(_sketched(docs, words_per_shingle).groupBy("fp", *SKETCH).agg(F.min(F.struct("id", "key")).alias("node")))
     heads = checkpointed(texts.groupBy("fp").agg(F.min(F.struct("node", *SKETCH)).alias("head")))
     own = (F.col("node") == F.col("head.node")) | (_sketch_distance("", "head.") > sketch_radius)
     nodes = checkpointed(texts.join(heads, "fp").where(own).select("node.id", "node.key", "fp", *SKETCH))
     choices = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(_masks(radius, blocks))])
-    keyed = nodes.select("id", "key", *SKETCH, F.explode(choices).alias("block"))
-    left, right = (keyed.select("block", *(F.col(c).alias(side + c) for c in ("id", "key", *SKETCH))) for side in ("a_", "b_"))
-    a, b = F.struct(F.col("a_id").alias("id"), F.col("a_key").alias("key")), F.struct(F.col("b_id").alias("id"), F.col("b_key").alias("key"))
-    near = left.join(right, "block").where((a < b) & (_sketch_distance("a_", "b_") <= sketch_radius))
-    return nodes.select("id", "key"), connected_components(near.select(a.alias("a"), b.alias("b")).distinct(), "a", "b")
+    near = partial(_sketch_distance, "a_", "b_")
+
+    def keyed(rows: DataFrame, side: str, *columns: str) -> DataFrame:
+        return rows.select(F.explode(choices).alias("block"), *(F.col(c).alias(side + c) for c in (*columns, *SKETCH)))
+
+    # first, every node of a block is held against the block's least one only
+    mine = nodes.select(F.struct("id", "key").alias("node"), "fp", *SKETCH)
+    least = keyed(mine, "", "node").groupBy("block").agg(F.min(F.struct("node", *SKETCH)).alias("head"), F.count("*").alias("n")).where("n > 1")
+    least = checkpointed(least.select("block", *(F.col(f"head.{c}").alias(f"b_{c}") for c in ("node", *SKETCH))))
+    to_least = keyed(mine, "a_", "node").join(least, "block").where((F.col("a_node") != F.col("b_node")) & (near() <= sketch_radius))
+    stars = checkpointed(connected_components(to_least.select("a_node", "b_node").distinct(), "a_node", "b_node"))
+
+    # then all pairs of a block, but for those that are known to be in one component
+    named = mine.join(stars, "node", "left").select(F.coalesce("component", "node").alias("component"), "fp", *SKETCH)
+    named = checkpointed(named)
+    mixed = keyed(named, "", "component").groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    open_rows = checkpointed(keyed(named, "", "component").join(checkpointed(mixed.select("block")), "block", "left_semi"))
+    left, right = (open_rows.select("block", *(F.col(c).alias(side + c) for c in ("component", *SKETCH))) for side in ("a_", "b_"))
+    between = left.join(right, "block").where((F.col("a_component") < F.col("b_component")) & (near() <= sketch_radius))
+    edges = between.select(F.col("a_component").alias("a"), F.col("b_component").alias("b")).distinct()
+    return nodes.select("id", "key"), connected_components(stars.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(edges), "a", "b")
 
 
 def near_dedup(docs: DataFrame, sketch_radius: int = SKETCH_RADIUS, words_per_shingle: int = 5, radius: int = 4, blocks: int = 7) -> DataFrame:
