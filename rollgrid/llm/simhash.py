@@ -9,23 +9,25 @@ for every such choice, joined on (choice, agreeing bits), and kept where the
 distance holds. Copies of one fingerprint are one node from the start, so a
 group of copies, however large, costs one row here.
 
-``near_dedup`` finds copies by five-word shingles of similarity 0.8: fingerprints
-of whole words pick the pairs by blocks in the same way, and the Hamming distance
-of a wider SimHash sketch of the shingles verifies them.
+``near_dedup`` links texts whose sets of five-word shingles have a Jaccard
+similarity of 0.8 or more, all of them and no others. Pairs are found by prefix
+filtering, which is complete: in any order of all shingles, two such texts share
+one of the first fifth (and one more) of each. An order with common shingles last
+makes few pairs. Bounds that no such pair can miss thin them out, and the sets
+themselves decide.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import partial, reduce
+from functools import reduce
 from itertools import combinations
 from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollgrid.llm.common import NULL_ID_LAST, checkpointed, order_id, ship_code, text_key
@@ -33,9 +35,16 @@ from rollgrid.llm.components import connected_components
 
 #: Shingles hashed at a time; bounds the memory for one very long text.
 CHUNK = 50_000
-#: Bits of the sketch that verifies a pair, and the most that may differ: five-word
-#: shingles of similarity 0.8 differ in 39 of 256 on average, with a deviation of 6.
-SKETCH_BITS, SKETCH_RADIUS = 256, 44
+#: A pair counts as copies if its shingle sets have this similarity, as a fraction.
+NEAR = (4, 5)
+#: Of the texts, one in so many is counted for the order of shingles, and so many shingles
+#: at most are put last. Both bear on the number of candidates only, never on the result.
+SAMPLE, COMMON = 16, 100_000
+#: Bits of the parities that bound the difference of two shingle sets from below.
+PARITY_BITS = 512
+#: Ids of texts to be read again that are sent to all executors; more of them are joined by a shuffle.
+SENT_IDS = 100_000
+ROLL = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -64,22 +73,36 @@ def fingerprint(text: str | None, words_per_shingle: int = 3, seed: int = 42) ->
     return int.from_bytes(majority(words_of(text), words_per_shingle, lambda s: xxhash.xxh64_digest(s, seed), 64), "big")
 
 
-def word_fingerprint(words: list[bytes], seed: int = 42) -> bytes:
-    """64 bits of a text's words, each weighted by the logarithm of its count, in whole numbers so that sums are exact."""
-    counts = list(Counter(words).items())
-    sums = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(counts), CHUNK):
-        part = counts[at : at + CHUNK]
-        bits = np.unpackbits(np.frombuffer(b"".join([xxhash.xxh64_digest(w, seed) for w, _ in part]), dtype=np.uint8).reshape(-1, 8), axis=1)
-        weights = np.rint(16 * np.log2(1 + np.fromiter((n for _, n in part), dtype=np.int64, count=len(part)))).astype(np.int64)
-        sums += weights @ (2 * bits.astype(np.int64) - 1)
-    return np.packbits(sums > 0).tobytes()
+def shingle_set(text: str | None, words_per_shingle: int = 5) -> np.ndarray:
+    """64-bit hashes of the shingles of a text, sorted, each once; one shingle if there are too few words, none without words."""
+    words = words_of(text)
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    known = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
+    ids = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+    k = min(words_per_shingle, len(words))
+    n = len(words) - k + 1
+    keys = ids[:n].copy()
+    for i in range(1, k):
+        keys = (keys ^ (keys >> np.uint64(31))) * ROLL + ids[i : i + n]
+    keys = (keys ^ (keys >> np.uint64(32))) * ROLL
+    return np.unique(keys ^ (keys >> np.uint64(29)))
+
 
+def prefix(keys: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first keys of a set, as many as a set of similarity NEAR can't miss all of; those in common (sorted) come last."""
+    n = len(keys)
+    if not n:
+        return keys
+    last = np.zeros(n, dtype=bool)
+    if len(common):
+        last = common[np.minimum(np.searchsorted(common, keys), len(common) - 1)] == keys
+    return np.concatenate([keys[~last], keys[last]])[: n - -(-n * NEAR[0] // NEAR[1]) + 1]
 
-def sketch(words: list[bytes], words_per_shingle: int = 5) -> bytes:
-    """SKETCH_BITS bits of the shingles of a text."""
-    halves = range(SKETCH_BITS // 128)
-    return majority(words, words_per_shingle, lambda s: b"".join([xxhash.xxh3_128_digest(s, h) for h in halves]), SKETCH_BITS)
+
+def parities(keys: np.ndarray) -> bytes:
+    """Whether each of PARITY_BITS parts of all hashes holds an odd number of these; a key more or less changes one bit."""
+    return np.packbits(np.bincount((keys % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1).astype(np.uint8).tobytes()
 
 
 def fingerprints(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -136,89 +159,140 @@ def simhash_components(docs: DataFrame, radius: int = 3, blocks: int = 6, words_
     return rows.join(by_fp, "fp").select("doc_id", "text_key", "fp", component_id.alias("component_id"), "label")
 
 
-SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
+PARITY = [f"p{i}" for i in range(PARITY_BITS // 64)]
 
 
-def _sketched(docs: DataFrame, words_per_shingle: int) -> DataFrame:
-    """id, key, fp for each row, and the sketch of its shingles as longs; fp is the fingerprint of its words."""
+def _common_shingles(docs: DataFrame, words_per_shingle: int) -> np.ndarray:
+    """Sorted hashes of the shingles that several texts of a sample hold, the most frequent ones if there are many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sketches = bytearray(), bytearray()
             for text in batch.column("text"):
-                words = words_of(text.as_py())
-                prints += word_fingerprint(words)
-                sketches += sketch(words, words_per_shingle)
-            longs = np.frombuffer(sketches, dtype=">i8").astype(np.int64).reshape(-1, len(SKETCH))
-            found = [np.frombuffer(prints, dtype=">i8").astype(np.int64), *longs.T]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), *map(pa.array, found)], ["id", "key", "fp", *SKETCH])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), words_per_shingle).view(np.int64))], ["shingle"])
+
+    sample = docs.where(F.pmod(text_key(), F.lit(SAMPLE)) == 0).select(F.col("text").cast("string").alias("text"))
+    counts = sample.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    top = counts.orderBy(F.desc("n"), "shingle").limit(COMMON).select("shingle")  # bounded, so that it can be sent to all
+    return np.sort(top.toArrow().column("shingle").to_numpy().view(np.uint64))
+
+
+def _prefixed(docs: DataFrame, words_per_shingle: int) -> DataFrame:
+    """For each row id, key, the digest g of its shingle set, the set's size n, its prefix and its parities."""
+    sent = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, words_per_shingle))
+    names = ["id", "key", "g", "n", "prefix", *PARITY]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, odd, sizes, firsts = bytearray(), bytearray(), [], []
+            for text in batch.column("text"):
+                keys = shingle_set(text.as_py(), words_per_shingle)
+                digests += xxhash.xxh64_digest(keys.tobytes())
+                odd += parities(keys)
+                sizes.append(len(keys))
+                firsts.append(prefix(keys, sent.value).view(np.int64))
+            ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *firsts])))
+            longs = np.frombuffer(bytes(odd), dtype=">i8").astype(np.int64).reshape(-1, len(PARITY))
+            g = np.frombuffer(bytes(digests), dtype=">i8").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(g), pa.array(sizes, pa.int64()), lists, *map(pa.array, longs.T)], names)
 
-    ship_code(docs.sparkSession)
     rows = docs.select(order_id().alias("id"), text_key().alias("key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("id", "key", "fp", *SKETCH)))
+    return rows.mapInArrow(run, "id long, key long, g long, n long, prefix array<long>, " + ", ".join(f"{c} long" for c in PARITY))
 
 
-def _sketch_distance(a: str, b: str) -> Column:
-    """Differing bits of two sketches, whose columns begin with a and b."""
-    return reduce(add, [F.bit_count(F.col(a + s).bitwiseXOR(F.col(b + s))) for s in SKETCH])
+def _free(docs: DataFrame) -> None:
+    """Lets Spark delete the shuffle files of what has been written to checkpoints."""
+    docs.sparkSession.sparkContext._jvm.System.gc()
 
 
-def near_groups(docs: DataFrame, sketch_radius: int = SKETCH_RADIUS, words_per_shingle: int = 5, radius: int = 4, blocks: int = 7) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, key) of distinct texts, and node, component of those that are linked (structs of id and key).
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words_per_shingle: int) -> DataFrame:
+    """Those pairs a, b of digests, of n keys in all, whose shingle sets have the similarity NEAR at least."""
+    near, of = NEAR
+    # each key that only one set holds changes one parity: sets that are near differ in few
+    sides = [nodes.select(F.col("g").alias(side), *(F.col(c).alias(side + c) for c in PARITY)) for side in ("a", "b")]
+    differ = reduce(add, [F.bit_count(F.col("a" + p).bitwiseXOR(F.col("b" + p))) for p in PARITY])
+    held = pairs.distinct().join(sides[0], "a").join(sides[1], "b")
+    likely = checkpointed(held.where(differ * (of + near) <= F.col("n") * (of - near)).select("a", "b", "n"))
 
-    Two texts are linked where the fingerprints of their words agree on
-    ``blocks - radius`` blocks, as all within radius bits do, and the sketches of
-    their shingles differ in at most sketch_radius bits. Words change less than
-    shingles when a text is edited, so that near copies share blocks; shingles
-    tell whether they are near copies. Texts of one fingerprint are first held
-    against the least of them and, if linked, are its node: a group of copies is
-    few nodes. Of the pairs in a block, those with its least node are looked at
-    first; where that leaves a block in one component, nothing more is to be found
-    in it, and of other blocks only pairs of two components are emitted. So a large
-    group of different near copies makes about as many rows as it has nodes.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g, text in zip(batch.column("g"), batch.column("text")):
+                keys = shingle_set(text.as_py(), words_per_shingle)
+                yield pa.RecordBatch.from_arrays([pa.array([g.as_py()], pa.int64()), pa.array([keys.view(np.int64)], pa.list_(pa.int64()))], ["g", "keys"])
+
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("g")).distinct().join(nodes.select("g", "node"), "g")
+    wanted = checkpointed(wanted)
+    if wanted.count() <= SENT_IDS:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(order_id().alias("row_id"), text_key().alias("row_key"), F.col("text").cast("string").alias("text"))
+    found = texts.join(wanted, (F.col("row_id") == F.col("node.id")) & (F.col("row_key") == F.col("node.key"))).groupBy("g").agg(F.min("text").alias("text"))
+    sets = checkpointed(found.mapInArrow(run, "g long, keys array<long>"))
+    both = likely.join(sets.toDF("a", "a_keys"), "a").join(sets.toDF("b", "b_keys"), "b").withColumn("both", F.size(F.array_intersect("a_keys", "b_keys")))
+    return checkpointed(both.where(F.col("both") * of >= (F.col("n") - F.col("both")) * near).select("a", "b"))
+
+
+def near_groups(docs: DataFrame, words_per_shingle: int = 5) -> DataFrame:
+    """id, key, component: the least row (id, key) of each distinct shingle set, and a number for its group of near copies.
+
+    Groups are the components of all pairs of sets of similarity NEAR. A block is
+    the sets with one shingle in their prefix. Of the pairs in a block, those with
+    its least set and with one drawn for the block are looked at first; then only
+    pairs of two components. So a large group of different near copies makes about
+    as many rows as it has sets.
     """
-    texts = checkpointed(_sketched(docs, words_per_shingle).groupBy("fp", *SKETCH).agg(F.min(F.struct("id", "key")).alias("node")))
-    heads = checkpointed(texts.groupBy("fp").agg(F.min(F.struct("node", *SKETCH)).alias("head")))
-    own = (F.col("node") == F.col("head.node")) | (_sketch_distance("", "head.") > sketch_radius)
-    nodes = checkpointed(texts.join(heads, "fp").where(own).select("node.id", "node.key", "fp", *SKETCH))
-    choices = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(_masks(radius, blocks))])
-    near = partial(_sketch_distance, "a_", "b_")
-
-    def keyed(rows: DataFrame, side: str, *columns: str) -> DataFrame:
-        return rows.select(F.explode(choices).alias("block"), *(F.col(c).alias(side + c) for c in (*columns, *SKETCH)))
-
-    # first, every node of a block is held against the block's least one only
-    mine = nodes.select(F.struct("id", "key").alias("node"), "fp", *SKETCH)
-    least = keyed(mine, "", "node").groupBy("block").agg(F.min(F.struct("node", *SKETCH)).alias("head"), F.count("*").alias("n")).where("n > 1")
-    least = checkpointed(least.select("block", *(F.col(f"head.{c}").alias(f"b_{c}") for c in ("node", *SKETCH))))
-    to_least = keyed(mine, "a_", "node").join(least, "block").where((F.col("a_node") != F.col("b_node")) & (near() <= sketch_radius))
-    stars = checkpointed(connected_components(to_least.select("a_node", "b_node").distinct(), "a_node", "b_node"))
+    ship_code(docs.sparkSession)
+    near, of = NEAR
+    rows = _prefixed(docs, words_per_shingle).groupBy("g", "n", *PARITY)
+    nodes = checkpointed(rows.agg(F.min(F.struct("id", "key")).alias("node"), F.min("prefix").alias("prefix")))
+    _free(docs)
+    placed = nodes.select("g", "n", F.posexplode("prefix").alias("at", "block"))
+    block, one = Window.partitionBy("block"), F.struct("g", "n", "at")
+    drawn = F.min(F.struct(F.xxhash64("g", "block").alias("order"), one.alias("one"))).over(block)
+    shared = placed.select("*", F.min(one).over(block).alias("low"), drawn.alias("drawn"), F.max("g").over(block).alias("high")).where("low.g != high")
+    ends = [F.col(f"{end}.{c}").alias(f"{end[:3]}_{c}") for end in ("low", "drawn.one") for c in ("g", "n", "at")]
+    blocks = checkpointed(shared.select("block", "g", "n", "at", *ends))
+    _free(docs)
+
+    def able(n: Column, at: Column) -> Column:
+        """Whether enough shingles can be in common: as many as come before, at and behind the block's one."""
+        common = F.least(at, F.col("at")) + F.least(n - at, F.col("n") - F.col("at"))
+        return common * (of + near) >= (n + F.col("n")) * near
+
+    def pair(g: str, n: str) -> list[Column]:
+        return [F.least(g, "g").alias("a"), F.greatest(g, "g").alias("b"), (F.col(n) + F.col("n")).alias("n")]
+
+    # first, every set of a block is held against two of it only
+    to_ends = [blocks.where((F.col(f"{e}_g") != F.col("g")) & able(F.col(f"{e}_n"), F.col(f"{e}_at"))).select(*pair(f"{e}_g", f"{e}_n")) for e in ("low", "dra")]
+    first = _verified(to_ends[0].unionByName(to_ends[1]), nodes, docs, words_per_shingle)
+    stars = connected_components(first, "a", "b").toDF("g", "component")
+    _free(docs)
 
     # then all pairs of a block, but for those that are known to be in one component
-    named = mine.join(stars, "node", "left").select(F.coalesce("component", "node").alias("component"), "fp", *SKETCH)
-    named = checkpointed(named)
-    mixed = keyed(named, "", "component").groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-    open_rows = checkpointed(keyed(named, "", "component").join(checkpointed(mixed.select("block")), "block", "left_semi"))
-    left, right = (open_rows.select("block", *(F.col(c).alias(side + c) for c in ("component", *SKETCH))) for side in ("a_", "b_"))
-    between = left.join(right, "block").where((F.col("a_component") < F.col("b_component")) & (near() <= sketch_radius))
-    edges = between.select(F.col("a_component").alias("a"), F.col("b_component").alias("b")).distinct()
-    return nodes.select("id", "key"), connected_components(stars.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(edges), "a", "b")
-
-
-def near_dedup(docs: DataFrame, sketch_radius: int = SKETCH_RADIUS, words_per_shingle: int = 5, radius: int = 4, blocks: int = 7) -> DataFrame:
+    folded = [reduce(lambda x, y: x.bitwiseXOR(y), [F.col(p) for p in PARITY[i::4]]).alias(f"q{i}") for i in range(4)]
+    known = checkpointed(nodes.select("g", *folded).join(stars, "g", "left").withColumn("component", F.coalesce("component", "g")))
+    named = blocks.select("block", "g", "n", "at").join(known, "g")
+    mixed = named.select("*", F.min("component").over(block).alias("low"), F.max("component").over(block).alias("high")).where("low != high").drop("low", "high")
+    still = checkpointed(mixed)
+    left = still.select("block", *(F.col(c).alias("a_" + c) for c in still.columns if c != "block"))
+    differ = reduce(add, [F.bit_count(F.col(f"a_q{i}").bitwiseXOR(F.col(f"q{i}"))) for i in range(4)])
+    likely = able(F.col("a_n"), F.col("a_at")) & (differ * (of + near) <= (F.col("a_n") + F.col("n")) * (of - near))
+    others = left.join(still, "block").where((F.col("a_component") < F.col("component")) & likely)
+    between = _verified(others.select(*pair("a_g", "a_n")), nodes, docs, words_per_shingle)
+    groups = connected_components(first.unionByName(between), "a", "b").toDF("g", "component")
+    return nodes.join(groups, "g", "left").select("node.id", "node.key", F.coalesce("component", "g").alias("component"))
+
+
+def near_dedup(docs: DataFrame, words_per_shingle: int = 5) -> DataFrame:
     """docs with one row for each group of near copies: its least (doc_id, text digest), null ids last.
 
-    Groups are the components of near_groups(). Texts without words are copies of
+    Groups are those of near_groups(). Texts without words are copies of
     each other; texts of fewer words than a shingle are one shingle, so that only
     equal ones are copies. Rows that agree in doc_id and text are one document, of
     which one row stays. All columns stay as they are; an empty table gives none.
     """
-    nodes, stars = near_groups(docs, sketch_radius, words_per_shingle, radius, blocks)
-    # a node is the least of its texts, and a component's name its least node
-    copies = stars.where("node != component").select(F.col("node.id").alias("id"), F.col("node.key").alias("key"))
-    keep = nodes.join(copies, ["id", "key"], "left_anti").select(F.col("id").alias("keep_id"), F.col("key").alias("keep_key"))
+    keep = near_groups(docs, words_per_shingle).groupBy("component").agg(F.min(F.struct("id", "key")).alias("keep")).select("keep")
     packed = docs.select(F.struct("*").alias("row"), order_id().alias("row_id"), text_key().alias("row_key"))
-    kept = packed.join(keep, (packed["row_id"] == keep["keep_id"]) & (packed["row_key"] == keep["keep_key"]), "left_semi")
+    kept = packed.join(keep, (packed["row_id"] == keep["keep.id"]) & (packed["row_key"] == keep["keep.key"]), "left_semi")
     return kept.dropDuplicates(["row_id", "row_key"]).select("row.*")
 
 

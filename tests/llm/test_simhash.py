@@ -79,6 +79,34 @@ def test_near_dedup_takes_shingle_similarity(spark):
     assert kept == [i for i in group if i % 4 == 0] + list(range(len(group), len(rows)))
 
 
+def groups_of(spark, texts):
+    """Places of texts, by groups of near copies."""
+    kept = simhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {r["id"]: r["component"] for r in kept}
+
+
+def similarity(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def edited(rng, words, places):
+    own = list(words)
+    for at in places:
+        own[at] = f"e{rng.randrange(10**9)}"
+    return " ".join(own)
+
+
+def test_near_dedup_leaves_pairs_below_the_threshold(spark):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(900)}" for _ in range(300)]
+        texts += [" ".join(words), edited(rng, words, range(10, 80, 10))]  # 7 edits, 35 of 296 shingles: 0.789
+    assert all(0.78 < similarity(texts[i], texts[i + 1]) < 0.8 for i in range(0, 80, 2))
+    assert len(set(groups_of(spark, texts).values())) == 80
+
+
 def test_long_chain_is_one_component(spark):
     from rollgrid.llm.components import connected_components
 
