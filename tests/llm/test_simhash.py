@@ -107,6 +107,36 @@ def test_near_dedup_leaves_pairs_below_the_threshold(spark):
     assert len(set(groups_of(spark, texts).values())) == 80
 
 
+def test_near_dedup_finds_all_pairs_of_the_threshold(spark):
+    rng = random.Random(6)
+    texts = []
+    for i in range(60):
+        words = [f"w{rng.randrange(900)}" for _ in range(300)]
+        places = range(0, 160, 5) if i % 2 else range(10, 70, 10)
+        texts += [" ".join(words), edited(rng, words, places if i % 2 == 0 else range(270, 300))]
+    near = [similarity(texts[i], texts[i + 1]) >= 0.8 for i in range(0, 120, 2)]
+    got = groups_of(spark, texts)
+    assert all(near) and all(got[i] == got[i + 1] for i in range(0, 120, 2))
+    assert len(set(got.values())) == 60
+
+
+def test_near_dedup_equals_brute_force(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(6):
+        words = [f"v{rng.randrange(200)}" for _ in range(rng.randint(30, 200))]
+        for _ in range(12):
+            words = edited(rng, words, rng.sample(range(len(words)), rng.randrange(len(words) // 40 + 2))).split()
+            texts.append(" ".join(words))
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if similarity(texts[i], texts[j]) >= 0.8:
+                label = [label[j] if x == label[i] else x for x in label]
+    got = groups_of(spark, texts)  # of equal texts the first stands for all
+    assert len({(label[i], got[i]) for i in got}) == len(set(label)) == len(set(got.values())) > 6
+
+
 def test_long_chain_is_one_component(spark):
     from rollgrid.llm.components import connected_components
 
