@@ -137,6 +137,21 @@ def test_near_dedup_equals_brute_force(spark):
     assert len({(label[i], got[i]) for i in got}) == len(set(label)) == len(set(got.values())) > 6
 
 
+def test_near_dedup_compares_all_texts_of_a_group(spark):
+    """A text near the least one of its words, and near a text that the least one isn't near."""
+    rng = random.Random(9)
+    texts = []
+    for g in range(6):
+        words = [f"g{g}w{i}" for i in range(300)]
+        other = list(words)
+        for at in (10, 30, 50):
+            other[at], other[at + 10] = other[at + 10], other[at]
+        head, t, u = " ".join(other), " ".join(words), edited(rng, words, range(100, 150, 10))
+        assert similarity(head, t) >= 0.8 and similarity(t, u) >= 0.8 and similarity(head, u) < 0.7
+        texts += [head, t, u]
+    assert len(set(groups_of(spark, texts).values())) == 6
+
+
 def test_long_chain_is_one_component(spark):
     from rollgrid.llm.components import connected_components
 
