@@ -11,7 +11,8 @@ similarity.
 
 Windows that share no shingle with any item have similarity 0 and are not
 fingerprinted; no result depends on it. Items are handled in blocks of bounded
-size, which are broadcast one after the other.
+size, which are broadcast one after the other; the weights of shingles are those
+of the whole benchmark in each of them.
 """
 
 from __future__ import annotations
@@ -85,16 +86,21 @@ class HammingIndex:
 class Benchmark:
     """The items of one block, ready to be searched for."""
 
-    def __init__(self, items: list[tuple[int, str]], k: int, threshold: float, radius: int) -> None:
+    def __init__(self, items: list[tuple[int, str]], k: int, threshold: float, radius: int, frequencies: tuple[int, dict[str, int]] | None = None) -> None:
+        """frequencies: what _frequencies() gives of the whole benchmark, if items aren't all of it."""
         self.k, self.threshold = k, threshold
         held = [(i, words) for i, text in items if (words := words_of(text))]
         self.ids = [i for i, _ in held]
         self.lengths = [len(w) for _, w in held]
         self.shingles = [Counter(shingles_of(w, k)) for _, w in held]
         spread = Counter(s for own in self.shingles for s in own)
+        total = len(held)
+        if frequencies is not None:
+            total, several = frequencies
+            spread = dict.fromkeys(spread, 1) | several
         # whole numbers, so that sums are exact; a shingle of many items tells less
-        self.weights = {s: max(1, round(16 * math.log2(1 + len(held) / n))) for s, n in spread.items()}
-        self.unknown = max(1, round(16 * math.log2(1 + len(held))))
+        self.weights = {s: max(1, round(16 * math.log2(1 + total / n))) for s, n in spread.items()}
+        self.unknown = max(1, round(16 * math.log2(1 + total)))
         self.sums = [sum(n * self.weights[s] for s, n in own.items()) for own in self.shingles]
         self.vocabulary: dict[str, int] = {}
         for _, words in held:
@@ -216,6 +222,22 @@ def _blocks(benchmark: DataFrame, block_items: int) -> Iterator[list[tuple[int,
         yield [tuple(r) for r in rows.orderBy("item_id", "text").collect()]  # about block_items rows
 
 
+def _frequencies(benchmark: DataFrame, k: int) -> tuple[int, dict[str, int]]:
+    """The number of items with words, and of those that hold a shingle, for shingles of several items.
+
+    A shingle of one item weighs as much as one of none, so that others needn't be listed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [sorted(set(shingles_of(words_of(text.as_py()), k))) for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.string()))], ["shingles"])
+
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).distinct().mapInArrow(run, "shingles array<string>")
+    counts = items.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+    return items.where(F.size("shingles") > 0).count(), {r["s"]: r["n"] for r in counts.collect()}
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 19, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """doc_id, item_id, first_word, n_words, distance, similarity: a row for each row of docs and item found in it.
 
@@ -231,12 +253,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, thresh
     names = ["doc_id", "item_id", "first_word", "n_words", "distance", "similarity"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
     out = None
-    group = uuid4()
+    group, weighed = uuid4(), docs.sparkSession.sparkContext.broadcast(_frequencies(benchmark, k))
     for block, items in enumerate(_blocks(benchmark, block_items)):
         sent, key = docs.sparkSession.sparkContext.broadcast(items), f"benchmark {group}/{block}"
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, key=key) -> Iterator[pa.RecordBatch]:
-            index = once(key, lambda: Benchmark(sent.value, k, threshold, radius))
+            index = once(key, lambda: Benchmark(sent.value, k, threshold, radius, weighed.value))
             for batch in batches:
                 found = [(doc, *hit) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")) for hit in index.search(text.as_py())]
                 columns = list(zip(*found)) if found else [[] for _ in names]
@@ -251,19 +273,19 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, thresho
     """The rows of docs in which find_contamination() finds no item, with all their columns."""
     ship_code(docs.sparkSession)
     packed = docs.select(F.struct("*").alias("row"))
-    group = uuid4()
+    group, weighed = uuid4(), docs.sparkSession.sparkContext.broadcast(_frequencies(benchmark, k))
     for block, items in enumerate(_blocks(benchmark, block_items)):
         sent, key = docs.sparkSession.sparkContext.broadcast(items), f"benchmark {group}/{block}"
 
-        clean = _clean_udf(sent, key, k, threshold, radius)
+        clean = _clean_udf(sent, weighed, key, k, threshold, radius)
         packed = packed.where(clean(F.col("row.text").cast("string")))
     return packed.select("row.*")
 
 
-def _clean_udf(sent, key: str, k: int, threshold: float, radius: int):
+def _clean_udf(sent, weighed, key: str, k: int, threshold: float, radius: int):
     @F.pandas_udf("boolean")
     def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = once(key, lambda: Benchmark(sent.value, k, threshold, radius))
+        index = once(key, lambda: Benchmark(sent.value, k, threshold, radius, weighed.value))
         for series in texts:
             yield pd.Series([not index.search(x) for x in series], dtype="bool")
 

@@ -69,6 +69,22 @@ def test_operator(spark):
     assert d.drop_contaminated(odd_docs(spark), bench.limit(0)).count() == 10
 
 
+def test_blocks_of_items_do_not_change_results(spark):
+    rng = random.Random(11)
+    shared = _words(rng, 25)
+    items = [(i, " ".join(shared + _words(rng, 25))) for i in range(12)]
+    docs = []
+    for i, text in items:
+        words = text.split()
+        words[40 + i % 5] = "changed"
+        docs.append((i, " ".join(words)))
+    bench, texts = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    whole, parts = (sorted(map(tuple, d.find_contamination(texts, bench, threshold=0.5, radius=30, block_items=n).collect())) for n in (2000, 3))
+    assert whole and whole == parts
+    one = d.Benchmark(items, 5, 0.5, 30)
+    assert all(s == one._similarity(Counter(d.shingles_of(d.words_of(dict(docs)[doc])[at : at + n], 5)), item) for doc, item, at, n, _, s in whole)
+
+
 def test_blocks_must_divide():
     with pytest.raises(ValueError):
         d.HammingIndex([1], 3, 5)
