@@ -9,10 +9,12 @@ at least, and the index lists each item under all block values that near. Each
 candidate is then held against the item by its exact weighted-shingle
 similarity.
 
-Windows that share no shingle with any item have similarity 0 and are not
-fingerprinted; no result depends on it. Items are handled in blocks of bounded
-size, which are broadcast one after the other; the weights of shingles are those
-of the whole benchmark in each of them.
+A shingle weighs more the fewer items hold it, counted over the whole benchmark.
+Windows that hold none of an item's rarest shingles, which make up over a fifth
+of its weight, can't reach a similarity of 0.8 and are not fingerprinted for it;
+no result depends on that. A benchmark of more items than a block is searched
+for block by block, but only in those documents, found in one pass over all, that
+hold one of the rarest shingles of some item.
 """
 
 from __future__ import annotations
@@ -31,12 +33,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollgrid.llm.common import once, ship_code
+from rollgrid.llm.common import checkpointed, once, ship_code
+from rollgrid.llm.topk import kth_largest
 
 WORD = re.compile(r"\w+")
 ROLL = np.uint64(0x9E3779B97F4A7C15)
 #: Windows fingerprinted at a time, and items of a block.
 CHUNK, BLOCK_ITEMS = 4096, 2000
+#: Shingles of several items whose numbers of items are known, the most frequent ones; others count as of one item.
+FREQUENT = 1 << 22
+#: Bits of the table of rarest shingles that a document is looked up in first, and words whose hashes a worker remembers.
+TABLE_BITS, MEMORY = 26, 300_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -83,64 +90,84 @@ class HammingIndex:
         return query, item, np.bitwise_count(queries[query] ^ self.fingerprints[item])
 
 
+class Weights:
+    """Whole-number weights of shingles, so that sums are exact: more for those that fewer of total items hold."""
+
+    def __init__(self, total: int, hashes: np.ndarray, counts: np.ndarray) -> None:
+        """hashes: sorted XXH64 of the shingles of several items; counts: how many items each."""
+        self.hashes = np.append(hashes, np.uint64(2**64 - 1))
+        told = [*counts.tolist(), 1]
+        self.values = np.array([self._value(total, n) for n in told], dtype=np.int64)
+        self.rare = self._value(total, 1)
+
+    @staticmethod
+    def _value(total: int, n: int) -> int:
+        return max(1, round(16 * math.log2(1 + total / n)))
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.values[at], self.rare)
+
+
+def hashes_of(shingles: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(s) for s in shingles), dtype=np.uint64, count=len(shingles))
+
+
+def rarest(shingles: Counter, weights: dict[str, int], threshold: float) -> list[str]:
+    """The rarest shingles of an item, as many as no window of the threshold's similarity can lack all of."""
+    left = total = sum(n * weights[s] for s, n in shingles.items())
+    out = []
+    for s in sorted(shingles, key=lambda s: (-weights[s], s)):
+        if left < threshold * total * (1 - 1e-9):
+            break
+        out.append(s)
+        left -= shingles[s] * weights[s]
+    return out
+
+
 class Benchmark:
-    """The items of one block, ready to be searched for."""
+    """The items of one block, ready to be searched for; weights are the whole benchmark's."""
 
-    def __init__(self, items: list[tuple[int, str]], k: int, threshold: float, radius: int, frequencies: tuple[int, dict[str, int]] | None = None) -> None:
-        """frequencies: what _frequencies() gives of the whole benchmark, if items aren't all of it."""
-        self.k, self.threshold = k, threshold
+    def __init__(self, items: list[tuple[int, str]], k: int, threshold: float, radius: int, weights: Weights) -> None:
+        self.k, self.threshold, self.weights = k, threshold, weights
         held = [(i, words) for i, text in items if (words := words_of(text))]
         self.ids = [i for i, _ in held]
         self.lengths = [len(w) for _, w in held]
         self.shingles = [Counter(shingles_of(w, k)) for _, w in held]
-        spread = Counter(s for own in self.shingles for s in own)
-        total = len(held)
-        if frequencies is not None:
-            total, several = frequencies
-            spread = dict.fromkeys(spread, 1) | several
-        # whole numbers, so that sums are exact; a shingle of many items tells less
-        self.weights = {s: max(1, round(16 * math.log2(1 + total / n))) for s, n in spread.items()}
-        self.unknown = max(1, round(16 * math.log2(1 + total)))
-        self.sums = [sum(n * self.weights[s] for s, n in own.items()) for own in self.shingles]
         self.vocabulary: dict[str, int] = {}
         for _, words in held:
             for w in words:
                 self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
         self.by_shingle: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for item, (_, words) in enumerate(held):
-            width = min(k, len(words))
-            ids = np.array([self.vocabulary[w] for w in words], dtype=np.uint64)
-            for key in set(self._keys(ids, width).tolist()):
-                self.by_shingle[width][key].append(item)
+        self.sums, prints = [], []
+        for item, (own, (_, words)) in enumerate(zip(self.shingles, held)):
+            told = self._told(list(own))
+            self.sums.append(sum(n * told[s] for s, n in own.items()))
+            for s in rarest(own, told, threshold):
+                ids = np.array([self.vocabulary[w] for w in s.split(" ")], dtype=np.uint64)
+                self.by_shingle[len(ids)][int(rolled(ids, len(ids))[0])].append(item)
+            prints.append(int(self._fingerprints([s for s, n in own.items() for _ in range(n)], [0], sum(own.values()))[0][0]))
         self.by_shingle = {w: dict(t) for w, t in self.by_shingle.items()}
         self.sorted_keys = {w: np.array(sorted(t), dtype=np.uint64) for w, t in self.by_shingle.items()}
         self.lengths_array = np.array(self.lengths, dtype=np.int64)
-        prints = [self._fingerprints([s for s, n in own.items() for _ in range(n)], [0], sum(own.values()))[0] for own in self.shingles]
-        self.index = HammingIndex([int(x) for x in prints], radius)
+        self.index = HammingIndex(prints, radius)
 
-    @staticmethod
-    def _keys(ids: np.ndarray, width: int) -> np.ndarray:
-        n = len(ids) - width + 1
-        if n <= 0:
-            return np.zeros(0, dtype=np.uint64)
-        key = ids[:n].copy()
-        for i in range(1, width):
-            key = (key ^ (key >> np.uint64(31))) * ROLL + ids[i : i + n]
-        return key
-
-    def _fingerprints(self, shingles: list[str], starts: list[int], size: int) -> np.ndarray:
-        """Fingerprints of the runs of size shingles from each start, by running sums."""
-        hashes = np.fromiter((xxhash.xxh64_intdigest(s) for s in shingles), dtype=np.uint64, count=len(shingles))
-        weights = np.fromiter(map(self.weights.get, shingles, repeat(self.unknown)), dtype=np.int64, count=len(shingles))
+    def _told(self, shingles: list[str]) -> dict[str, int]:
+        return dict(zip(shingles, self.weights.of(hashes_of(shingles)).tolist()))
+
+    def _fingerprints(self, shingles: list[str], starts: list[int], size: int) -> tuple[np.ndarray, dict[str, int]]:
+        """Fingerprints of the runs of size shingles from each start, by running sums; and the shingles' weights."""
+        hashes = hashes_of(shingles)
+        weights = self.weights.of(hashes)
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int64)
         sums = np.zeros((len(shingles) + 1, 64), dtype=np.int64)
         np.cumsum((2 * bits - 1) * weights[:, None], axis=0, out=sums[1:])
         at = np.array(starts)
         ones = sums[at + size] - sums[at] > 0
-        return np.packbits(ones, axis=1, bitorder="little").reshape(-1, 8).copy().view(np.uint64).ravel()
+        return np.packbits(ones, axis=1, bitorder="little").reshape(-1, 8).copy().view(np.uint64).ravel(), dict(zip(shingles, weights.tolist()))
 
     def _hits(self, words: list[str]) -> dict[int, list[int]]:
-        """Item to the words at which a shingle of it begins."""
+        """Item to the words at which one of its rarest shingles begins."""
         ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), dtype=np.uint64, count=len(words))
         known = ids > 0
         out: dict[int, list[int]] = defaultdict(list)
@@ -154,7 +181,7 @@ class Benchmark:
             places = np.flatnonzero(run)
             if not len(places):
                 continue
-            keys = self._keys(ids, width)[places]
+            keys = rolled(ids, width)[places]
             sorted_keys = self.sorted_keys[width]
             found = sorted_keys[np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)] == keys
             for place, key in zip(places[found].tolist(), keys[found].tolist()):
@@ -178,30 +205,40 @@ class Benchmark:
         best: dict[int, tuple[int, int, int, int, float]] = {}
         for length, starts in wanted.items():
             span = min(length, len(words))
-            ordered = sorted(starts)
-            for group in _near_groups(ordered, length):
+            for group in _near_groups(sorted(starts), length):
                 first = group[0]
                 width = min(self.k, span)
                 shingles = shingles_of(words[first : group[-1] + span], width)
                 size = span - width + 1
-                prints = self._fingerprints(shingles, [s - first for s in group], size)
+                prints, told = self._fingerprints(shingles, [s - first for s in group], size)
                 query, near, distances = self.index.search(prints)
                 same = self.lengths_array[near] == length
                 for q, item, distance in zip(query[same].tolist(), near[same].tolist(), distances[same].tolist()):
                     start = group[q]
-                    similarity = self._similarity(Counter(shingles[start - first : start - first + size]), item)
+                    similarity = self._similarity(Counter(shingles[start - first : start - first + size]), item, told)
                     if similarity >= self.threshold and (item not in best or (-similarity, start) < (-best[item][4], best[item][1])):
                         best[item] = (self.ids[item], start, span, distance, similarity)
         return [best[i] for i in sorted(best)]
 
-    def _similarity(self, window: Counter, item: int) -> float:
+    def _similarity(self, window: Counter, item: int, told: dict[str, int]) -> float:
         """Weighted Jaccard similarity of two bags of shingles."""
         own = self.shingles[item]
-        both = sum(min(n, own[s]) * self.weights[s] for s, n in window.items() if s in own)
-        all_of = sum(n * self.weights.get(s, self.unknown) for s, n in window.items()) + self.sums[item] - both
+        both = sum(min(n, own[s]) * told[s] for s, n in window.items() if s in own)
+        all_of = sum(n * told[s] for s, n in window.items()) + self.sums[item] - both
         return both / all_of
 
 
+def rolled(ids: np.ndarray, width: int) -> np.ndarray:
+    """A key of each run of width ids."""
+    n = len(ids) - width + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    key = ids[:n].copy()
+    for i in range(1, width):
+        key = (key ^ (key >> np.uint64(31))) * ROLL + ids[i : i + n]
+    return key
+
+
 def _near_groups(starts: list[int], length: int) -> Iterator[list[int]]:
     """Sorted starts in runs whose windows touch, of at most CHUNK words each."""
     group: list[int] = []
@@ -214,28 +251,108 @@ def _near_groups(starts: list[int], length: int) -> Iterator[list[int]]:
         yield group
 
 
-def _blocks(benchmark: DataFrame, block_items: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about block_items, by the hash of their ids."""
-    n = -(-benchmark.count() // block_items)
-    for block in range(n):
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == block).select("item_id", "text").distinct()
-        yield [tuple(r) for r in rows.orderBy("item_id", "text").collect()]  # about block_items rows
+def _items(benchmark: DataFrame, block_items: int) -> tuple[DataFrame, int]:
+    """block, item_id, text: each item once, dealt to so many blocks by a digest of all of it; and the number of blocks."""
+    items = benchmark.select(F.col("item_id").try_cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct()
+    items = checkpointed(items)
+    n = -(-items.count() // block_items)
+    return items.select(F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n))).alias("block"), "item_id", "text"), n
 
 
-def _frequencies(benchmark: DataFrame, k: int) -> tuple[int, dict[str, int]]:
-    """The number of items with words, and of those that hold a shingle, for shingles of several items.
+def _frequencies(items: DataFrame, k: int, frequent: int = FREQUENT) -> tuple[int, np.ndarray, np.ndarray]:
+    """What Weights takes, of all items: those with words, and how many hold a shingle, for shingles of several.
 
-    A shingle of one item weighs as much as one of none, so that others needn't be listed.
+    Of more than frequent such shingles only the most frequent are told; those that
+    tie for the last places are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [sorted(set(shingles_of(words_of(text.as_py()), k))) for text in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.string()))], ["shingles"])
+            own = [np.unique(hashes_of(shingles_of(words_of(text.as_py()), k))).view(np.int64) for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int64()))], ["shingles"])
+
+    held = checkpointed(items.select("text").mapInArrow(run, "shingles array<long>"))
+    counts = checkpointed(held.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 1"))
+    least = kth_largest(counts, "n", frequent)
+    if counts.where(F.col("n") >= least).count() > frequent:
+        least += 1
+    told = counts.where(F.col("n") >= F.lit(least)).toArrow()  # at most `frequent` rows of two numbers
+    hashes, n = told.column("s").to_numpy().view(np.uint64), told.column("n").to_numpy()
+    order = np.argsort(hashes)
+    return held.where(F.size("shingles") > 0).count(), hashes[order], n[order]
+
+
+def _block(items: DataFrame, block: int) -> list[tuple[int, str]]:
+    return [tuple(r) for r in items.where(F.col("block") == block).select("item_id", "text").orderBy("item_id", "text").collect()]  # about block_items rows
+
+
+def _word_hashes(words: list[str]) -> np.ndarray:
+    known = once("benchmark words/hashes", dict)
+    if len(known) > MEMORY:
+        known.clear()
+    for w in words:
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w)
+    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
-    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).distinct().mapInArrow(run, "shingles array<string>")
-    counts = items.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
-    return items.where(F.size("shingles") > 0).count(), {r["s"]: r["n"] for r in counts.collect()}
+
+def _table(items: DataFrame, weighed, k: int, threshold: float) -> tuple[np.ndarray, list[int]]:
+    """A bit for each value of TABLE_BITS bits that the key of an item's rarest shingle has, and the widths of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = Weights(*weighed.value)
+        for batch in batches:
+            found = []
+            for text in batch.column("text"):
+                own = Counter(shingles_of(words_of(text.as_py()), k))
+                told = dict(zip(own, weights.of(hashes_of(list(own))).tolist()))
+                for words in (s.split(" ") for s in rarest(own, told, threshold)):
+                    found.append((int(rolled(_word_hashes(words), len(words))[0]) >> (64 - TABLE_BITS), len(words)))
+            at, width = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(width, pa.int32())], ["at", "width"])
+
+    keys = checkpointed(items.select("text").mapInArrow(run, "at long, width int").distinct())
+    widths = sorted(r["width"] for r in keys.select("width").distinct().collect())  # k rows at most
+    bits = np.zeros(1 << TABLE_BITS, dtype=bool)
+    bits[keys.select("at").distinct().toArrow().column("at").to_numpy()] = True  # 2**TABLE_BITS rows at most
+    return np.packbits(bits), widths
+
+
+def _maybe_udf(sent, widths: list[int]):
+    """Whether a text may hold one of the rarest shingles of some item: never wrongly false."""
+
+    @F.pandas_udf("boolean")
+    def maybe(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        table = sent.value
+        for series in texts:
+            out = []
+            for text in series:
+                ids = _word_hashes(words_of(text))
+                at = np.concatenate([rolled(ids, w) for w in widths]) >> np.uint64(64 - TABLE_BITS)
+                out.append(bool((table[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8) & 1).any()))
+            yield pd.Series(out, dtype="bool")
+
+    return maybe
+
+
+class _Search:
+    """What find_contamination() and drop_contaminated() share: the blocks, their weights and the texts to search."""
+
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, k: int, threshold: float, radius: int, block_items: int) -> None:
+        ship_code(docs.sparkSession)
+        self.context, self.group = docs.sparkSession.sparkContext, uuid4()
+        self.items, self.n = _items(benchmark, block_items)
+        self.arguments = (k, threshold, radius)
+        self.weighed = self.context.broadcast(_frequencies(self.items, k))  # FREQUENT pairs of numbers at most
+        self.maybe = None
+        if self.n > 1:
+            table, widths = _table(self.items, self.weighed, k, threshold)
+            self.maybe = _maybe_udf(self.context.broadcast(table), widths)  # 2**TABLE_BITS bits
+
+    def index(self, block: int):
+        """A function that gives the Benchmark of a block in a worker; about block_items items are sent along."""
+        sent, weighed, arguments, key = self.context.broadcast(_block(self.items, block)), self.weighed, self.arguments, f"benchmark {self.group} {block}/index"
+        return lambda: once(key, lambda: Benchmark(sent.value, *arguments, Weights(*weighed.value)))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 19, block_items: int = BLOCK_ITEMS) -> DataFrame:
@@ -245,48 +362,54 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, thresh
     as many words as the item, or all of a shorter text. The window given is the
     most similar one, the first of equals. Null and empty texts and items match
     nothing; repeated documents return each, repeated items once; items of fewer
-    words than a shingle are one shingle. Empty tables give no rows.
+    words than a shingle are one shingle. Very long texts are searched whole. Ids
+    of items that are no whole numbers, and null ones, show as null. Other columns
+    are not read. Empty tables give no rows. Results don't depend on block_items.
     """
-    ship_code(docs.sparkSession)
+    search = _Search(docs, benchmark, k, threshold, radius, block_items)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, first_word int, n_words int, distance int, similarity double"
     names = ["doc_id", "item_id", "first_word", "n_words", "distance", "similarity"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
-    out = None
-    group, weighed = uuid4(), docs.sparkSession.sparkContext.broadcast(_frequencies(benchmark, k))
-    for block, items in enumerate(_blocks(benchmark, block_items)):
-        sent, key = docs.sparkSession.sparkContext.broadcast(items), f"benchmark {group}/{block}"
+    if search.maybe:
+        rows = checkpointed(rows.where(search.maybe("text")))
+    out = docs.sparkSession.createDataFrame([], schema)
+    for block in range(search.n):
+        index = search.index(block)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=key) -> Iterator[pa.RecordBatch]:
-            index = once(key, lambda: Benchmark(sent.value, k, threshold, radius, weighed.value))
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [(doc, *hit) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")) for hit in index.search(text.as_py())]
+                found = [(doc, *hit) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")) for hit in index().search(text.as_py())]
                 columns = list(zip(*found)) if found else [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
         part = rows.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+        out = part if search.n == 1 else out.unionByName(checkpointed(part))
+    return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 19, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """The rows of docs in which find_contamination() finds no item, with all their columns."""
-    ship_code(docs.sparkSession)
-    packed = docs.select(F.struct("*").alias("row"))
-    group, weighed = uuid4(), docs.sparkSession.sparkContext.broadcast(_frequencies(benchmark, k))
-    for block, items in enumerate(_blocks(benchmark, block_items)):
-        sent, key = docs.sparkSession.sparkContext.broadcast(items), f"benchmark {group}/{block}"
+    """The rows of docs in which find_contamination() finds no item, with all their columns, whatever their names.
 
-        clean = _clean_udf(sent, weighed, key, k, threshold, radius)
-        packed = packed.where(clean(F.col("row.text").cast("string")))
-    return packed.select("row.*")
+    Null and empty texts stay; repeated rows stay or go together; very long texts are
+    searched whole; without items all rows stay; an empty table gives no rows.
+    """
+    search = _Search(docs, benchmark, k, threshold, radius, block_items)
+    text = F.col("row.text").cast("string")
+    packed = docs.select(F.struct("*").alias("row"))
+    if not search.maybe:
+        return (packed.where(_clean_udf(search.index(0))(text)) if search.n else packed).select("row.*")
+    told = packed.withColumn("maybe", search.maybe(text))
+    left = checkpointed(told.where("maybe").select("row"))
+    for block in range(search.n):
+        left = checkpointed(left.where(_clean_udf(search.index(block))(text)))
+    return told.where("NOT maybe").select("row").unionByName(left).select("row.*")
 
 
-def _clean_udf(sent, weighed, key: str, k: int, threshold: float, radius: int):
+def _clean_udf(index):
     @F.pandas_udf("boolean")
     def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = once(key, lambda: Benchmark(sent.value, k, threshold, radius, weighed.value))
         for series in texts:
-            yield pd.Series([not index.search(x) for x in series], dtype="bool")
+            yield pd.Series([not index().search(x) for x in series], dtype="bool")
 
     return clean

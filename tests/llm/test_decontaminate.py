@@ -1,4 +1,6 @@
+import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -12,23 +14,46 @@ def _words(rng, n, size=400):
     return [f"w{rng.randrange(size)}" for _ in range(n)]
 
 
-def brute(text, bench):
-    """Items whose best window of as many words is similar enough."""
-    words, out = d.words_of(text), {}
-    for item, own in enumerate(bench.shingles):
-        length = bench.lengths[item]
-        span = min(length, len(words))
-        for start in range(max(1, len(words) - span + 1) if words else 0):
-            s = bench._similarity(Counter(d.shingles_of(words[start : start + span], bench.k)), item)
-            if s >= bench.threshold and s > out.get(bench.ids[item], (0, 0))[0]:
-                out[bench.ids[item]] = (s, start)
+def brute(text, items, threshold=0.8, k=5):
+    """item: (similarity, first word) of its best window, from the rule alone."""
+
+    def words_of(t):
+        return re.findall(r"\w+", (t or "").lower())
+
+    def bag(words):
+        return Counter(tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1)))
+
+    bags = {i: bag(words_of(t)) for i, t in items if words_of(t)}
+    holders = Counter(s for own in bags.values() for s in own)
+
+    def weigh(shingle):
+        return max(1, round(16 * math.log2(1 + len(bags) / max(1, holders[shingle]))))
+
+    words, out = words_of(text), {}
+    for item, t in items:
+        length = len(words_of(t))
+        for start in range(max(1, len(words) - length + 1) if words and length else 0):
+            window = bag(words[start : start + length])
+            both, every = window & bags[item], window | bags[item]
+            similarity = sum(n * weigh(s) for s, n in both.items()) / sum(n * weigh(s) for s, n in every.items())
+            if similarity >= threshold and similarity > out.get(item, (0, 0))[0]:
+                out[item] = (similarity, start)
     return out
 
 
+def whole(items, k=5, threshold=0.8, radius=19):
+    """All items as one block."""
+    spread = Counter(s for _, t in items for s in set(d.shingles_of(d.words_of(t), k)))
+    several = sorted((int(d.hashes_of([s])[0]), n) for s, n in spread.items() if n > 1)
+    hashes, counts = (np.array([x[i] for x in several], dtype=t) for i, t in ((0, np.uint64), (1, np.int64)))
+    return d.Benchmark(items, k, threshold, radius, d.Weights(sum(bool(d.words_of(t)) for _, t in items), hashes, counts))
+
+
 def test_search_equals_brute_force():
     rng = random.Random(3)
     items = [(i, " ".join(_words(rng, rng.randint(6, 50)))) for i in range(30)] + [(90, "w1 w2 w3"), (91, ""), (92, None)]
-    bench = d.Benchmark(items, 5, 0.8, 19)
+    items += [(100 + i, items[i][1] + " " + " ".join(_words(rng, 9))) for i in range(8)]  # so that some shingles have several items
+    bench = whole(items)
     for _ in range(60):
         words = _words(rng, rng.randint(0, 150))
         if rng.random() < 0.8:
@@ -41,9 +66,9 @@ def test_search_equals_brute_force():
             words[at:at] = own
         text = " ".join(words)
         found = {h[0]: (h[4], h[1]) for h in bench.search(text)}
-        wanted = brute(text, bench)
+        wanted = brute(text, items)
         assert found.keys() == wanted.keys()
-        assert all(found[i][0] == wanted[i][0] for i in found)
+        assert all(abs(found[i][0] - wanted[i][0]) < 1e-12 for i in found)
 
 
 def test_index_finds_all_within_radius():
@@ -72,17 +97,22 @@ def test_operator(spark):
 def test_blocks_of_items_do_not_change_results(spark):
     rng = random.Random(11)
     shared = _words(rng, 25)
-    items = [(i, " ".join(shared + _words(rng, 25))) for i in range(12)]
+    items = [(i, " ".join(shared + _words(rng, 25))) for i in range(12)] + [(None, "w1 w2 w3 w4 w5 w6"), (None, "w7 w8 w9")]
     docs = []
-    for i, text in items:
+    for i, text in items[:12]:
         words = text.split()
-        words[40 + i % 5] = "changed"
-        docs.append((i, " ".join(words)))
+        words[i % 5] = words[40 + i % 5] = "changed"
+        docs.append((i, " ".join(words + _words(rng, 60) if i % 2 else _words(rng, 30) + words)))
+    docs += [(50, "nothing of any item"), (51, None), (52, "x w7 w8 w9 y")]
     bench, texts = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
-    whole, parts = (sorted(map(tuple, d.find_contamination(texts, bench, threshold=0.5, radius=30, block_items=n).collect())) for n in (2000, 3))
-    assert whole and whole == parts
-    one = d.Benchmark(items, 5, 0.5, 30)
-    assert all(s == one._similarity(Counter(d.shingles_of(d.words_of(dict(docs)[doc])[at : at + n], 5)), item) for doc, item, at, n, _, s in whole)
+    found = [sorted(map(str, d.find_contamination(texts, bench, threshold=0.5, radius=30, block_items=n).collect())) for n in (2000, 5, 1)]
+    assert len(found[0]) >= 12 and found[0] == found[1] == found[2]
+    want = {(doc, item): s for doc, t in docs for item, s in brute(t, [(i if i is not None else 1000 + len(t2), t2) for i, t2 in items], 0.5).items()}
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["first_word"]) for r in d.find_contamination(texts, bench, threshold=0.5, radius=64, block_items=5).collect()}
+    assert {k: v for k, v in got.items() if k[1] is not None}.keys() == {k for k in want if k[1] < 12}
+    assert all(abs(got[k][0] - want[k][0]) < 1e-12 for k in want if k[1] < 12)
+    left = {r["doc_id"] for r in d.drop_contaminated(texts, bench, threshold=0.5, radius=30, block_items=5).collect()}
+    assert left == {50, 51}
 
 
 def test_blocks_must_divide():
