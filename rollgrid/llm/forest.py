@@ -4,10 +4,12 @@ Each tree splits space at the median of a random projection, over and over;
 vectors close to a split go to both sides (spill), so that near ones seldom
 part. The trees are fitted on a bounded sample and every vector is put through
 them. Vectors are compared within leaves only; a pair that meets in several
-leaves counts in the first of them. A leaf with very many vectors is compared
-in blocks of bounded size, all against all, so nothing is capped. What leaves a
-block is one row for each vector: its number of new links, and a link to the
-least vector it hangs together with there.
+leaves counts in the first of them. A leaf with very many vectors is split
+again, by a tree fitted on a sample of its own, and so on. One whose vectors
+don't come apart, as nearly all of them are alike, is compared in blocks of
+bounded size, all against all, so nothing is capped. What leaves a block is one
+row for each vector: its number of new links, and a link to the least vector it
+hangs together with there.
 """
 
 from __future__ import annotations
@@ -25,10 +27,18 @@ from rollgrid.llm.common import checkpointed, once, ship_code
 from rollgrid.llm.components import connected_components
 
 
+#: Bytes of vectors that fit the first trees, at most, however wide they are.
+SAMPLE_BYTES = 64 << 20
+#: A leaf isn't split if a part would hold more than this share of it.
+APART = 0.5
+
+
 @dataclass(frozen=True)
 class Settings:
     """leaf: vectors that a leaf should hold; sample: vectors that fit the trees, at most.
 
+    leaf_sample: vectors of an oversized leaf, about, that fit the tree that splits it.
+
     spill: half the width of the band around a split whose vectors go both ways,
     in standard deviations of the projected difference of two vectors that are
     just similar enough. block: vectors of a leaf compared at a time.
@@ -39,30 +49,43 @@ class Settings:
     leaf: int = 256
     spill: float = 0.5
     sample: int = 20_000
+    leaf_sample: int = 2048
     block: int = 1024
     seed: int = 11
 
 
+def _options(random: np.random.Generator, size: int) -> np.ndarray:
+    """Four random directions; a split takes the one along which its sample is widest."""
+    options = random.normal(size=(4, size))
+    return options / np.linalg.norm(options, axis=1, keepdims=True)
+
+
 class Tree:
-    """Splits as arrays: node i has children 2i + 1 and 2i + 2; leaves are numbered by path."""
+    """Splits as arrays: node i has children 2i + 1 and 2i + 2; leaves are numbered by path.
+
+    A tree is told by its seed and, for each split, which option it took and where it cuts.
+    """
 
-    def __init__(self, sample: np.ndarray, depth: int, band: float, seed: int) -> None:
+    def __init__(self, size: int, band: float, seed: list[int], taken: np.ndarray, cuts: np.ndarray) -> None:
         random = np.random.default_rng(seed)
-        self.depth, self.band = depth, band
-        self.directions = np.zeros((2**depth - 1, sample.shape[1]), dtype=np.float32)
-        self.cuts = np.zeros(2**depth - 1)
+        self.depth, self.band, self.taken, self.cuts = len(cuts).bit_length(), band, taken, cuts
+        self.directions = np.array([_options(random, size)[t] for t in taken], dtype=np.float32).reshape(-1, size)
+
+    @classmethod
+    def fit(cls, sample: np.ndarray, depth: int, band: float, seed: list[int]) -> Tree:
+        random = np.random.default_rng(seed)
+        taken, cuts = np.zeros(2**depth - 1, dtype=np.int64), np.zeros(2**depth - 1)
         held: dict[int, np.ndarray] = {0: sample}
         for node in range(2**depth - 1):
             points = held.pop(node)
-            options = random.normal(size=(4, sample.shape[1]))
-            options /= np.linalg.norm(options, axis=1, keepdims=True)
+            options = _options(random, sample.shape[1])
             at = points @ options.T if len(points) else np.zeros((1, 4))
-            best = int(np.argmax(at.std(axis=0)))
-            self.directions[node] = options[best]
-            along = points @ self.directions[node].astype(np.float64) if len(points) else np.zeros(1)
-            self.cuts[node] = np.median(along)
+            taken[node] = np.argmax(at.std(axis=0))
+            along = points @ options[taken[node]].astype(np.float32).astype(np.float64) if len(points) else np.zeros(1)
+            cuts[node] = np.median(along)
             if 2 * node + 2 < 2**depth - 1:
-                held[2 * node + 1], held[2 * node + 2] = (points[along <= self.cuts[node]], points[along >= self.cuts[node]]) if len(points) else (points, points)
+                held[2 * node + 1], held[2 * node + 2] = (points[along <= cuts[node]], points[along >= cuts[node]]) if len(points) else (points, points)
+        return cls(sample.shape[1], band, seed, taken, cuts)
 
     def leaves(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(vector, leaf) for each leaf that each vector goes to."""
@@ -74,10 +97,13 @@ class Tree:
         return rows, nodes - (2**self.depth - 1)
 
 
+def band_of(settings: Settings, size: int) -> float:
+    return float(settings.spill * np.sqrt(2 - 2 * settings.threshold) / np.sqrt(size))
+
+
 class Forest:
     def __init__(self, sample: np.ndarray, depth: int, settings: Settings) -> None:
-        band = settings.spill * np.sqrt(2 - 2 * settings.threshold) / np.sqrt(sample.shape[1])
-        self.trees = [Tree(sample, depth, band, settings.seed * 1000 + t) for t in range(settings.trees)]
+        self.trees = [Tree.fit(sample, depth, band_of(settings, sample.shape[1]), [settings.seed, t]) for t in range(settings.trees)]
 
     def leaves(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(vector, leaf) over all trees; a leaf's number tells its tree."""
@@ -86,8 +112,9 @@ class Forest:
 
 
 def unit_vectors(column: pa.Array, size: int) -> np.ndarray:
-    """Rows of length 1, from a list column without nulls, in double precision."""
+    """Rows of length 1, from a list column without nulls, in double precision, however large or small they are."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+    flat = flat / np.abs(flat).max(axis=1, keepdims=True, initial=0)
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
@@ -181,10 +208,11 @@ def embedding_components(vectors: DataFrame, settings: Settings = Settings()) ->
     return members.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _links_of_size(nodes: DataFrame, size: int, most: int, settings: Settings) -> DataFrame:
-    """node, links, least: new links of each vector in each leaf, among vectors of size components."""
+def _place(nodes: DataFrame, size: int, most: int, settings: Settings) -> DataFrame:
+    """label_key, node, copies, embedding, leaves: every vector put through a forest fitted on a bounded sample."""
     spark = nodes.sparkSession
-    fitted = nodes.orderBy(F.xxhash64("h1", F.lit(settings.seed)), "node").limit(settings.sample).select("embedding").toArrow()  # settings.sample rows
+    fitting = max(16, min(settings.sample, SAMPLE_BYTES // (8 * size)))
+    fitted = nodes.orderBy(F.xxhash64("h1", F.lit(settings.seed)), "node").limit(fitting).select("embedding").toArrow()  # SAMPLE_BYTES at most
     sample = unit_vectors(fitted.column("embedding").combine_chunks(), size)
     deepest = max(0, int(np.log2(max(1, len(sample) / 16))))
     depth = min(deepest, max(0, int(np.ceil(np.log2(most / settings.leaf)))))
@@ -199,15 +227,78 @@ def _links_of_size(nodes: DataFrame, size: int, most: int, settings: Settings) -
             unit = unit_vectors(batch.column("embedding"), size)
             rows, leaves = trees.leaves(unit)
             order = np.lexsort((leaves, rows))
-            rows, leaves = rows[order], leaves[order]
             ends = np.cumsum(np.bincount(rows, minlength=len(unit)))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(leaves.astype(np.int32)))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(leaves[order]))
             yield pa.RecordBatch.from_arrays([batch.column("label_key"), batch.column("node"), batch.column("copies"), batch.column("embedding"), lists], ["label_key", "node", "copies", "embedding", "leaves"])
 
     keyed = nodes.select(F.col("label").cast("string").alias("label_key"), "node", "copies", "embedding")
-    placed = keyed.mapInArrow(place, "label_key string, node long, copies long, embedding array<double>, leaves array<int>")
-    placed = checkpointed(placed)
-    counts = placed.select("label_key", F.explode("leaves").alias("leaf")).groupBy("label_key", "leaf").count()
+    return checkpointed(keyed.mapInArrow(place, "label_key string, node long, copies long, embedding array<double>, leaves array<long>"))
+
+
+def _leaf_sizes(placed: DataFrame) -> DataFrame:
+    return placed.select("label_key", F.explode("leaves").alias("leaf")).groupBy("label_key", "leaf").count()
+
+
+def _split(placed: DataFrame, large: DataFrame, size: int, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """placed with each large leaf (label_key, leaf, count) in the place of its parts, and those that don't come apart.
+
+    Every large leaf gets a tree of its own, from a sample of its own vectors.
+    """
+    band = band_of(settings, size)
+    held = placed.select("label_key", "node", "embedding", F.explode("leaves").alias("leaf")).join(large, ["label_key", "leaf"])
+    drawn = F.pmod(F.xxhash64("node", "leaf", F.lit(settings.seed)), F.lit(1 << 30)) * F.col("count") < F.lit(settings.leaf_sample << 30)
+    depth = max(1, int(np.log2(settings.leaf_sample / 16)))
+
+    def seed(leaf: int) -> list[int]:
+        return [settings.seed, leaf % 2**64]
+
+    def fit(group: pa.Table) -> pa.Table:
+        label, leaf = (group.column(c)[0].as_py() for c in ("label_key", "leaf"))
+        sample = unit_vectors(group.column("embedding").combine_chunks(), size)
+        tree = Tree.fit(sample, depth, band, seed(leaf))
+        largest = np.bincount(tree.leaves(sample)[1]).max() / len(sample)
+        apart = largest <= APART
+        return pa.table({"label_key": pa.array([label], pa.string()), "leaf": pa.array([leaf], pa.int64()), "taken": pa.array([tree.taken if apart else None], pa.list_(pa.int64())), "cuts": pa.array([tree.cuts if apart else None], pa.list_(pa.float64()))})
+
+    # about leaf_sample rows a group
+    fitted = held.where(drawn).groupBy("label_key", "leaf").applyInArrow(fit, "label_key string, leaf long, taken array<long>, cuts array<double>")
+    trees = checkpointed(large.select("label_key", "leaf").join(fitted, ["label_key", "leaf"], "left"))
+    splits = trees.where("cuts IS NOT NULL")
+
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[str, int], Tree] = {}
+        for batch in batches:
+            unit = unit_vectors(batch.column("embedding"), size)
+            owners = list(zip(batch.column("label_key").to_pylist(), batch.column("leaf").to_pylist()))
+            for owner in sorted(set(owners)):
+                places = np.array([i for i, o in enumerate(owners) if o == owner])
+                if owner not in known:
+                    if len(known) >= 64:
+                        known.clear()
+                    known[owner] = Tree(size, band, seed(owner[1]), *(np.array(batch.column(c)[int(places[0])].as_py()) for c in ("taken", "cuts")))
+                rows, leaves = known[owner].leaves(unit[places])
+                at = pa.array(places[rows])
+                yield pa.RecordBatch.from_arrays([batch.column("label_key").take(at), batch.column("node").take(at), batch.column("leaf").take(at), pa.array(leaves)], ["label_key", "node", "leaf", "part"])
+
+    parted = held.drop("count").join(splits, ["label_key", "leaf"]).mapInArrow(descend, "label_key string, node long, leaf long, part long")
+    whole = placed.select("label_key", "node", F.explode("leaves").alias("leaf")).join(splits.select("label_key", "leaf"), ["label_key", "leaf"], "left_anti")
+    # two leaves of one number are one leaf: more is compared then, never less
+    every = parted.select("label_key", "node", F.xxhash64("leaf", "part").alias("leaf")).unionByName(whole.select("label_key", "node", "leaf"))
+    lists = every.groupBy("label_key", "node").agg(F.collect_set("leaf").alias("leaves"))
+    return checkpointed(placed.drop("leaves").join(lists, ["label_key", "node"])), trees.where("cuts IS NULL").select("label_key", "leaf")
+
+
+def _links_of_size(nodes: DataFrame, size: int, most: int, settings: Settings) -> DataFrame:
+    """node, links, least: new links of each vector in each leaf, among vectors of size components."""
+    placed, solid = _place(nodes, size, most, settings), None
+    while True:
+        counts = _leaf_sizes(placed)
+        large = counts.where(F.col("count") > settings.block)
+        large = checkpointed(large if solid is None else large.join(solid, ["label_key", "leaf"], "left_anti"))
+        if large.isEmpty():
+            break
+        placed, whole = _split(placed, large, size, settings)
+        solid = checkpointed(whole if solid is None else solid.unionByName(whole))
     large = counts.where(F.col("count") > settings.block).select("label_key", "leaf", F.ceil(F.col("count") / settings.block).cast("int").alias("blocks"))
     rows = placed.select("*", F.explode("leaves").alias("leaf")).join(large, ["label_key", "leaf"], "left")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
