@@ -2,13 +2,14 @@
 
 Long texts are split where no token can cross: at ASCII blanks, for tokenizers
 that drop white space between words. Pieces go to the library in batches
-balanced by bytes, and only the lengths of their encodings are kept. A piece
+balanced by their UTF-8 bytes, and only the lengths of their encodings are kept. A piece
 that a batch holds often is encoded once and remembered, up to a bound; a text's
 other pieces are encoded together.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter as Seen
 from collections.abc import Iterable, Iterator
 from itertools import repeat
@@ -25,24 +26,40 @@ BATCH_BYTES = 1 << 20
 MEMORY = 300_000
 #: A piece is remembered if a batch holds it so often and it is no longer than this.
 OFTEN, LONGEST = 3, 64
-#: Characters after which a text is split.
-LONG_TEXT = 1 << 16
+#: Bytes after which the words of a text are split, and characters of a text that are held as words at a time.
+LONG_TEXT, SECTION = 1 << 16, 1 << 20
+BLANK = re.compile(r"[ \n\t\r]")
+
+
+def n_bytes(piece: str) -> int:
+    """Of its UTF-8 form; ASCII needs no encoding to be measured."""
+    return len(piece) if piece.isascii() else len(piece.encode("utf-8", "surrogatepass"))
 
 
 def batches_by_bytes(pieces: Iterable[str], limit: int = BATCH_BYTES) -> Iterator[list[str]]:
-    """Pieces in order, in batches of at most limit characters; a longer one is alone."""
+    """Pieces in order, in batches of at most limit bytes; a longer one is alone."""
     batch: list[str] = []
     held = 0
     for piece in pieces:
-        if batch and held + len(piece) > limit:
+        size = n_bytes(piece)
+        if batch and held + size > limit:
             yield batch
             batch, held = [], 0
         batch.append(piece)
-        held += len(piece)
+        held += size
     if batch:
         yield batch
 
 
+def sections(text: str, size: int = SECTION) -> Iterator[str]:
+    """A text in parts of about size characters, cut at ASCII blanks only; a word without end stays whole."""
+    at = 0
+    while len(text) - at > size and (blank := BLANK.search(text, at + size)):
+        yield text[at : blank.start()]
+        at = blank.end()
+    yield text[at:] if at else text
+
+
 class Counter:
     """Counts the tokens of texts with the tokenizers library.
 
@@ -66,6 +83,11 @@ class Counter:
     def count(self, texts: list[str]) -> list[int]:
         if not self.splits:
             return self._encode(texts)
+        if any(len(t) > SECTION for t in texts):
+            return [sum(sum(self._count([part])) for part in sections(t)) for t in texts]
+        return self._count(texts)
+
+    def _count(self, texts: list[str]) -> list[int]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         known = self.known
         rest = [[p for p in pieces if p not in known] for pieces in split]
@@ -108,8 +130,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> Dat
 
     Counts are those of the library without truncation, padding or added special
     tokens; special strings inside texts are taken as it takes them by default.
-    A null text counts as empty; repeated rows each return; an empty table gives
-    no rows. The tokenizer's file is read here and sent along, a fixed size.
+    A null text counts as empty; repeated rows each return; ties don't arise; an
+    empty table gives no rows. Very long texts are counted in full, in sections cut
+    at blanks where the tokenizer allows it. Other columns are not read. The
+    tokenizer's file is read here and sent along, a fixed size.
     """
     spark = docs.sparkSession
     ship_code(spark)
