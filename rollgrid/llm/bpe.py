@@ -32,8 +32,10 @@ LEXICON_WORDS = 32_768
 #: Occurrences that make a word frequent, at least.
 AT_LEAST = 4
 MEMORY = 150_000
-#: Ids that are decoded at a time.
-CHUNK = 1 << 16
+#: Ids that are decoded at a time, and characters that are parted into words at a time.
+CHUNK, SECTION = 1 << 16, 1 << 20
+#: Where a text can be cut: no special token of a ByteBpe holds a blank.
+BETWEEN = regex.compile(r"(?<=\S) (?=\S)")
 
 
 def byte_letters() -> dict[str, int]:
@@ -51,6 +53,10 @@ class ByteBpe:
         pre, model = told["pre_tokenizer"], told["model"]
         if told["normalizer"] or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"] or model["type"] != "BPE":
             raise ValueError("not a plain byte-level BPE tokenizer")
+        other = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+        other += [t["content"] for t in told["added_tokens"] if t["lstrip"] or t["rstrip"] or t["single_word"]]
+        if other or (told["decoder"] or {}).get("type") != "ByteLevel":
+            raise ValueError(f"not supported in a byte-level BPE tokenizer: {other or told['decoder']}")
         letters = byte_letters()
 
         def to_bytes(token: str) -> bytes:
@@ -61,6 +67,8 @@ class ByteBpe:
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.ranks = {(to_bytes(a), to_bytes(b)): rank for rank, (a, b) in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
+        if any(" " in t for t in self.special):
+            raise ValueError("special tokens with blanks are not supported")
         self.special_pattern = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         size = max([*self.vocabulary.values(), *self.special.values()]) + 1
         self.pieces = [b""] * size
@@ -128,6 +136,19 @@ class UnsureError(Exception):
     """A word has a letter of a newer Unicode version."""
 
 
+def sections(text: str, size: int = SECTION) -> Iterator[str]:
+    """A text in parts of about size characters, so that few words are held at a time.
+
+    Cut before a blank between two others that are none: no word holds both sides. A word
+    without end stays whole.
+    """
+    at = 0
+    while len(text) - at > size and (cut := BETWEEN.search(text, at + size)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
 def pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -170,6 +191,9 @@ class Encoder:
             return self._by_library(text)
 
     def _encode(self, text: str) -> bytes:
+        return b"".join(map(self._encode_section, sections(text)))
+
+    def _encode_section(self, text: str) -> bytes:
         if self.bpe.special_pattern is None or not any(s in text for s in self.bpe.special):
             return b"".join(map(self.known.__getitem__, self.find(text)))
         out = []
@@ -231,8 +255,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, outputs: tuple[str, .
 
     outputs: any of ids (little-endian unsigned 32-bit integers), ids_sha256,
     decoded (the ids decoded again) and decoded_sha256. A null text counts as
-    empty; repeated rows each return; an empty table gives none. What is
-    broadcast has a fixed bound: the tokenizer's file and lexicon_words words.
+    empty; repeated rows each return; an empty table gives none. A very long text is
+    encoded whole, its words a section at a time. Words that tie for the lexicon's
+    last places are merged when met. Other columns are not read.
+    What is broadcast has a fixed bound: the tokenizer's file and lexicon_words words.
     """
     spark = docs.sparkSession
     ship_code(spark)

@@ -46,8 +46,23 @@ def test_encoder_equals_library():
         packed = encoder.encode(text)
         assert np.frombuffer(packed, "<u4").tolist() == ids
         assert encoder.decode(packed) == library.decode(ids, skip_special_tokens=False)
+    merger = own.merger()
     for word in (w for text in FUZZ[:100] for w in own.pattern.findall(text)):
-        assert own.merge(word.encode()) == own.merger()(word) == own._merge_long([bytes([b]) for b in word.encode()])
+        assert own.merge(word.encode()) == merger(word) == own._merge_long([bytes([b]) for b in word.encode()])
+
+
+def test_sections_do_not_change_results(monkeypatch):
+    monkeypatch.setattr(bpe, "SECTION", 7)
+    monkeypatch.setattr(token_counts, "SECTION", 7)
+    monkeypatch.setattr(bpe.sections, "__defaults__", (7,))
+    monkeypatch.setattr(token_counts.sections, "__defaults__", (7,))
+    definition = open(vocabulary(BYTE_BPE), encoding="utf-8").read()
+    encoder, library = bpe.Encoder(definition, lexicon.mapped(lexicon.compile_lexicon({}))), plain(vocabulary(BYTE_BPE))
+    counter, words = token_counts.Counter(open(vocabulary(WORD_BPE), encoding="utf-8").read(), True), plain(vocabulary(WORD_BPE))
+    for text in FUZZ + ["one two  three\n four <|endoftext|> five", "a" * 50 + " b"]:
+        assert "".join(bpe.sections(text)) == text
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert counter.count([text]) == [len(words.encode(text, add_special_tokens=False).ids)]
 
 
 def test_encode_documents(spark):
@@ -97,4 +112,6 @@ def test_count_tokens(spark):
 
 def test_batches_by_bytes():
     got = list(token_counts.batches_by_bytes(["aaa", "bb", "c" * 9, "d"], 5))
-    assert got == [["aaa", "bb"], ["c" * 9], ["d"]] and list(token_counts.batches_by_bytes([], 5)) == []
+    assert got == [["aaa", "bb"], ["c" * 9], ["d"]]
+    assert list(token_counts.batches_by_bytes(["漢", "字", "a", "é", "b"], 4)) == [["漢"], ["字", "a"], ["é", "b"]]
+    assert list(token_counts.batches_by_bytes([], 5)) == []
