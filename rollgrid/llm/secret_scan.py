@@ -9,6 +9,7 @@ without mandatory trigrams is tried on every text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,10 @@ from pyspark.sql import functions as F
 
 from rollgrid.llm.trigrams import ANY, trigram_query
 
+SPAN = "struct<start:int,order:int,kind:string,end:int>"
+#: Matches whose places are added up one after the other.
+RUN = 256
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -58,25 +63,42 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return both.groupBy("row_key").agg(F.bit_or(F.expr("shiftleft(1, rule)")).alias("rules"))
 
 
+def _places(items: Column, at: Column, size: Callable[[Column], Column], kind: str, made: Callable[[Column, Column], Column]) -> Column:
+    """What made() gives of each item and the place where it starts; the first starts at at, each ends size() later."""
+    none = F.struct(at.alias("at"), F.array().cast(f"array<{kind}>").alias("found"))
+
+    def step(state: Column, x: Column) -> Column:
+        found = F.array(made(state["at"], x).cast(kind))
+        return F.struct((state["at"] + size(x)).alias("at"), F.concat(state["found"], found).alias("found"))
+
+    return F.aggregate(items, none, step, lambda s: s["found"])
+
+
 def _spans(rule: Rule, order: int, text: Column) -> Column:
-    """array<struct<start, order, kind, end>> of a rule's matches that are long enough."""
+    """array<struct<start, order, kind, end>> of a rule's matches that are long enough.
+
+    Places add up the gaps and matches before: of runs of RUN matches first, then within
+    each, so that no long array grows by one match at a time.
+    """
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     part = whole if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
     gaps = F.transform(F.split(text, rule.pattern, -1), lambda g: F.length(g))
-    steps = F.arrays_zip(gaps, F.transform(whole, lambda m: F.length(m)), F.transform(part, lambda m: F.length(m)))
-    kind = "struct<start:int,order:int,kind:string,end:int>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("found"))
+    zipped = F.arrays_zip(gaps, F.transform(whole, lambda m: F.length(m)), F.transform(part, lambda m: F.length(m)))
+    steps = F.transform(zipped, lambda x: F.struct(x["0"].alias("gap"), F.coalesce(x["1"], F.lit(0)).alias("size"), x["2"].alias("part")))
+    runs = F.transform(F.sequence(F.lit(1), F.size(steps), F.lit(RUN)), lambda i: F.slice(steps, i, F.lit(RUN)))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        end = start + F.coalesce(x["size"], F.lit(0))
-        span = F.array(F.struct(start.alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), end.alias("end")).cast(kind))
-        return F.struct(end.alias("at"), F.when(x["part"] >= rule.at_least, F.concat(state["found"], span)).otherwise(state["found"]).alias("found"))
+    def length(x: Column) -> Column:
+        return x["gap"] + x["size"]
+
+    def span(at: Column, x: Column) -> Column:
+        fields = F.struct((at + x["gap"]).alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), (at + length(x)).alias("end"))
+        return F.struct(fields.alias("span"), x["part"].alias("part"))
 
-    named = F.transform(steps, lambda x: F.struct(x["0"].alias("gap"), x["1"].alias("size"), x["2"].alias("part")))
-    found = F.aggregate(named, zero, step, lambda s: s["found"])
-    return F.when(F.rlike(text, pattern), found).otherwise(F.array().cast(f"array<{kind}>"))
+    starts = _places(runs, F.lit(0), lambda run: F.aggregate(run, F.lit(0), lambda n, x: n + length(x)), "int", lambda at, _: at)
+    found = F.flatten(F.zip_with(runs, starts, lambda run, at: _places(run, at, length, f"struct<span:{SPAN},part:int>", span)))
+    long_enough = F.transform(F.filter(found, lambda x: x["part"] >= rule.at_least), lambda x: x["span"])
+    return F.when(F.rlike(text, pattern), long_enough).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -84,8 +106,9 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     Matches are leftmost and do not overlap within a rule; positions are code
     points, the end exclusive; spans are sorted by start, then by the rules' order.
-    A null text counts as empty; repeated rows each return; an empty table gives
-    no rows.
+    A null text counts as empty; repeated rows each return; spans of two rules that
+    start together are listed in the rules' order. Very long texts are scanned whole.
+    Other columns are not read. An empty table gives no rows.
     """
     found = candidates(docs, rules).select(F.col("row_key").alias("candidate"), "rules")
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("body"), _row_key().alias("row_key"))
@@ -94,7 +117,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     for i, rule in enumerate(rules):
         spans = _spans(rule, i, F.col("body"))
         if trigram_query(rule.pattern) != ANY:
-            spans = F.when(F.col("rules").bitwiseAND(F.lit(1 << i)) != 0, spans).otherwise(F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>"))
+            spans = F.when(F.col("rules").bitwiseAND(F.lit(1 << i)) != 0, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
         parts.append(spans)
     return met.select("doc_id", F.array_sort(F.concat(*parts)).alias("spans"))
 
