@@ -1,12 +1,21 @@
 """Quality by importance resampling: hashed n-gram models, their ratio, Gumbel top-k.
 
-Two generative models count hashed byte n-grams: one of the target (labelled
-good and not toxic), one of the raw text (all documents). A document's log
-importance is the mean log ratio of the two over its n-grams; ratios near one,
-which tell more of topic and language than of quality, count as one. A document
-is sampled by the Gumbel top-k trick: noise is added to the scaled log weight
-and the k largest stay, where k is the number of documents whose weight clears
-the threshold that parts held-out good from bad labels best.
+Two generative models draw hashed byte n-grams g one by one: one of the target
+(labelled good and not toxic) with probabilities p_T(g), one of the raw text (all
+documents) with p_R(g). The target's counts are smoothed by ``prior`` pseudo-counts
+of the raw model. Where that leaves a log ratio within the deadband, the labelled
+sample tells more of topic and language than of quality, and the target model backs
+off to the raw one: the ratio is 1.
+
+A document's importance weight is the ratio of its two likelihoods, a geometric mean
+over its n-grams so that long texts aren't decided by their length:
+log w = mean over g of log(p_T(g) / p_R(g)).
+
+Documents are drawn without replacement in proportion to w ** sharpness by the
+Gumbel top-k trick: the sampling key is sharpness * log w plus Gumbel noise, and
+the k largest keys stay. k is the number of documents whose weight clears the
+threshold that parts held-out good from bad labels best; sharpness is such that the
+distance of the two medians is 1 / ``temperature`` units of noise.
 
 Raw counts, weights, k and the k-th largest key are taken over all documents;
 only the labelled sample is bounded (max_labelled).
@@ -196,7 +205,8 @@ def resample(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
 
     A null or empty text has no n-grams and a log weight of 0. Rows that agree in
     doc_id and text are sampled together; ties at the last place all stay. Without
-    good and bad labels nothing can be told apart, and all rows stay. Empty tables
+    good and bad labels nothing can be told apart, and all rows stay. Very long texts
+    are weighed whole, a part at a time. Other columns are not read. Empty tables
     give none.
     """
     fitted, keyed = fit(docs, labels, settings)
@@ -204,7 +214,11 @@ def resample(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of docs that resample() takes, with all their columns."""
+    """The rows of docs that resample() takes, with all their columns, whatever their names.
+
+    Nulls, empty and very long texts, ties and repeated rows are as resample() has them.
+    Weights are computed once more rather than joined: a join would shuffle all texts.
+    """
     fitted, _ = fit(docs, labels, settings)
     known = docs.sparkSession.sparkContext.broadcast(fitted.ratios)
 
