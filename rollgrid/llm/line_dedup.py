@@ -44,8 +44,8 @@ def later_occurrences(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     return occurrences.join(repeated, ["h1", "h2"]).where(here != F.col("first")).select("id", "key", "pos")
 
 
-def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """docs with repeated windows cut from text; two columns follow: n_lines and n_removed.
+def dedup_lines(docs: DataFrame, size: int = WINDOW, counts: bool = True) -> DataFrame:
+    """docs with repeated windows cut from text; with counts two columns follow: n_lines and n_removed.
 
     Lines end at "\\n" and must be equal to the letter. A text of fewer lines than
     a window is one window, compared with texts just like it. Windows of blank
@@ -54,7 +54,8 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     later occurrence covers it; a copy of it always stays at its first place.
     A text of which no line is left becomes empty; null stays null (no lines).
     Rows that agree in doc_id and text are one document and stay alike. An
-    empty table gives none. The columns n_lines and n_removed replace any so named.
+    empty table gives none. Very long texts are taken whole. With counts, the columns
+    n_lines and n_removed replace any so named; without, the columns stay those of docs.
     """
     starts = later_occurrences(docs, size).groupBy("id", "key").agg(F.collect_set("pos").alias("starts")).select(F.col("id").alias("cut_id"), F.col("key").alias("cut_key"), "starts")
     packed = docs.select(F.struct("*").alias("row"), order_id().alias("row_id"), text_key().alias("row_key"))
@@ -71,5 +72,7 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     text = F.when(F.col("kept").isNotNull(), F.array_join(F.transform("kept", lambda i: F.get(lines, i)), "\n")).otherwise(F.col("row.text"))
     n_lines = F.when(F.col("row.text").isNull(), F.lit(0)).otherwise(F.col("n_lines"))
     removed = F.when(F.col("kept").isNotNull(), F.col("n_lines") - F.size("kept")).otherwise(F.lit(0))
-    columns = [text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    columns = [text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
+    if not counts:
+        return cut.select(*columns)
     return cut.select(*columns, n_lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
