@@ -10,11 +10,14 @@ distance holds. Copies of one fingerprint are one node from the start, so a
 group of copies, however large, costs one row here.
 
 ``near_dedup`` links texts whose sets of five-word shingles have a Jaccard
-similarity of 0.8 or more, all of them and no others. Pairs are found by prefix
-filtering, which is complete: in any order of all shingles, two such texts share
-one of the first fifth (and one more) of each. An order with common shingles last
-makes few pairs. Bounds that no such pair can miss thin them out, and the sets
-themselves decide.
+similarity of 0.8 or more, all of them and no others. Fingerprints of those sets
+that share a block and are within radius come first. They can't be all: at a
+similarity of 0.8 about 10 of 64 bits differ, and no blocks that find so many have
+enough bits left to part other texts. So the pairs that fingerprints miss are found
+by prefix filtering, a pigeonhole on the sets themselves, which is complete: in any
+order of all shingles, two such texts share one of the first fifth (and one more) of
+each. An order with common shingles last makes few pairs. Bounds that no such pair
+can miss thin them out, and the sets themselves decide on every pair.
 """
 
 from __future__ import annotations
@@ -30,11 +33,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollgrid.llm.common import NULL_ID_LAST, checkpointed, order_id, ship_code, text_key
+from rollgrid.llm.common import NULL_ID_LAST, checkpointed, order_id, scratch, ship_code, text_key
 from rollgrid.llm.components import connected_components
 
 #: Shingles hashed at a time; bounds the memory for one very long text.
 CHUNK = 50_000
+#: Nodes of a block that are compared with each other, at most; free bits below which a block isn't cut further.
+MOST, FREE_BITS = 1024, 10
 #: A pair counts as copies if its shingle sets have this similarity, as a fraction.
 NEAR = (4, 5)
 #: Of the texts, one in so many is counted for the order of shingles, and so many shingles
@@ -89,6 +94,14 @@ def shingle_set(text: str | None, words_per_shingle: int = 5) -> np.ndarray:
     return np.unique(keys ^ (keys >> np.uint64(29)))
 
 
+def set_fingerprint(keys: np.ndarray) -> int:
+    """The bits set in over half the keys; 0 without keys."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(keys), CHUNK):
+        ones += np.unpackbits(keys[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(keys)).tobytes(), "little")
+
+
 def prefix(keys: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The first keys of a set, as many as a set of similarity NEAR can't miss all of; those in common (sorted) come last."""
     n = len(keys)
@@ -118,25 +131,87 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42) ->
     return rows.mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
-def _masks(radius: int, blocks: int) -> list[int]:
-    """For each choice of agreeing blocks, its bits, as signed longs."""
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    bits = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:])]
-    return [m - 2**64 if m >= 2**63 else m for m in (sum(c) for c in combinations(bits, blocks - radius))]
+def _signed(bits: int) -> int:
+    return bits - 2**64 if bits >= 2**63 else bits
+
+
+def finer_masks(mask: int, radius: int, blocks: int) -> list[int]:
+    """mask with each choice of all but radius blocks of the bits it leaves free; none if those are too few to cut."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    if len(free) <= FREE_BITS or len(free) < blocks:
+        return []
+    edges = [len(free) * i // blocks for i in range(blocks + 1)]
+    bits = [sum(1 << b for b in free[lo:hi]) for lo, hi in zip(edges, edges[1:])]
+    return sorted({mask | sum(c) for c in combinations(bits, blocks - radius)})
+
 
+def _hang_together(ids: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places a, b: each node but the least of its links' component within these, and that least one."""
+    places = np.arange(len(ids))
+    rank = np.empty_like(places)
+    rank[np.lexsort((fps.view(np.int64), ids))] = places
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
+    label = rank
+    while True:
+        least = np.where(near, label[None, :], len(ids)).min(axis=1)
+        if (least == label).all():
+            break
+        label = least
+    a = np.flatnonzero(label != rank)
+    return a, np.argsort(rank)[label[a]]
 
-def links(distinct: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
-    """a < b: the nodes (id, fp) of every two fingerprints at most radius bits apart.
 
-    distinct: id, fp, each fingerprint once.
+def _compared(groups: DataFrame, radius: int) -> DataFrame:
+    """a_id, a_fp, b_id, b_fp: links that join all nodes (arrays ids and fps of a row) as those within radius do."""
+    names = ["a_id", "a_fp", "b_id", "b_fp"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [batch.column(c) for c in ("ids", "fps")]
+            offsets = lists[0].offsets.to_numpy()
+            ids, fps = (x.values.to_numpy() for x in lists)
+            found = [np.zeros((4, 0), dtype=np.int64)]
+            for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                a, b = _hang_together(ids[lo:hi], fps[lo:hi].view(np.uint64), radius)
+                found.append(np.stack([ids[lo + a], fps[lo + a], ids[lo + b], fps[lo + b]]))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(found, axis=1)], names)
+
+    return groups.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def links(distinct: DataFrame, radius: int = 3, blocks: int = 6, most: int = MOST) -> DataFrame:
+    """a, b: nodes (id, fp) that hang together by fingerprints at most radius bits apart, as many rows as a block has nodes at most.
+
+    distinct: id, fp, each fingerprint once. Not every two such fingerprints are a row,
+    but the components of the rows are those of all of them. A block of more than most
+    nodes isn't compared: its free bits are cut into blocks in turn, in which two of its
+    fingerprints within radius agree on all of a choice again, until few bits are left.
+    So rows grow with the nodes, not with the pairs of a block.
     """
     if not 0 <= radius < blocks <= 64:
         raise ValueError("radius must be below the number of blocks")
-    choices = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(_masks(radius, blocks))])
-    keyed = distinct.select(F.struct("id", "fp").alias("node"), F.explode(choices).alias("k")).select("node", "k.choice", "k.part")
-    left, right = keyed.select(F.col("node").alias("a"), "choice", "part"), keyed.select(F.col("node").alias("b"), "choice", "part")
-    near = left.join(right, ["choice", "part"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius))
-    return near.select("a", "b").distinct()
+    spark = distinct.sparkSession
+    masks, keyed, found = [0], distinct.select("id", "fp", F.lit(0).cast("long").alias("mask")), []
+    while True:
+        finer = {m: finer_masks(m, radius, blocks) for m in masks}
+        table = spark.createDataFrame([(_signed(m), [_signed(x) for x in own]) for m, own in finer.items()], "mask long, masks array<long>")
+        cut = keyed.join(F.broadcast(table), "mask").select("id", "fp", F.explode("masks").alias("mask"))  # rows by the bits' number only
+        keyed = cut.select("id", "fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("part"))
+        if len(masks) > 1:
+            keyed = keyed.distinct()
+        masks = sorted({x for own in finer.values() for x in own})
+        last = not any(finer_masks(m, radius, blocks) for m in masks)
+        counts = checkpointed(keyed.groupBy("mask", "part").agg(F.count("*").alias("n")).where("n > 1"))
+        small = counts if last else counts.where(F.col("n") <= most)
+        members = keyed.join(small.select("mask", "part"), ["mask", "part"])
+        groups = members.groupBy("mask", "part").agg(F.collect_list(F.struct("id", "fp")).alias("nodes"))  # at most `most`, or 2**FREE_BITS
+        found.append(_compared(groups.select(F.col("nodes.id").alias("ids"), F.col("nodes.fp").alias("fps")), radius))
+        large = counts.where(F.col("n") > most).select("mask", "part")
+        if last or large.isEmpty():
+            break
+        keyed = keyed.join(large, ["mask", "part"]).select("id", "fp", "mask")
+    near = reduce(DataFrame.unionByName, found)
+    return near.select(F.struct(F.col("a_id").alias("id"), F.col("a_fp").alias("fp")).alias("a"), F.struct(F.col("b_id").alias("id"), F.col("b_fp").alias("fp")).alias("b"))
 
 
 def simhash_components(docs: DataFrame, radius: int = 3, blocks: int = 6, words_per_shingle: int = 3) -> DataFrame:
@@ -177,27 +252,28 @@ def _common_shingles(docs: DataFrame, words_per_shingle: int) -> np.ndarray:
 
 
 def _prefixed(docs: DataFrame, words_per_shingle: int) -> DataFrame:
-    """For each row id, key, the digest g of its shingle set, the set's size n, its prefix and its parities."""
+    """For each row id, key, the digest g of its shingle set, the set's size n, fingerprint, prefix and parities."""
     sent = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, words_per_shingle))
-    names = ["id", "key", "g", "n", "prefix", *PARITY]
+    names = ["id", "key", "g", "n", "fp", "prefix", *PARITY]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, odd, sizes, firsts = bytearray(), bytearray(), [], []
+            digests, odd, sizes, prints, firsts = bytearray(), bytearray(), [], [], []
             for text in batch.column("text"):
                 keys = shingle_set(text.as_py(), words_per_shingle)
                 digests += xxhash.xxh64_digest(keys.tobytes())
                 odd += parities(keys)
                 sizes.append(len(keys))
+                prints.append(set_fingerprint(keys))
                 firsts.append(prefix(keys, sent.value).view(np.int64))
             ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *firsts])))
             longs = np.frombuffer(bytes(odd), dtype=">i8").astype(np.int64).reshape(-1, len(PARITY))
             g = np.frombuffer(bytes(digests), dtype=">i8").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(g), pa.array(sizes, pa.int64()), lists, *map(pa.array, longs.T)], names)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(g), pa.array(sizes, pa.int64()), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), lists, *map(pa.array, longs.T)], names)
 
     rows = docs.select(order_id().alias("id"), text_key().alias("key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, key long, g long, n long, prefix array<long>, " + ", ".join(f"{c} long" for c in PARITY))
+    return rows.mapInArrow(run, "id long, key long, g long, n long, fp long, prefix array<long>, " + ", ".join(f"{c} long" for c in PARITY))
 
 
 def _free(docs: DataFrame) -> None:
@@ -231,55 +307,108 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words_per_shi
     return checkpointed(both.where(F.col("both") * of >= (F.col("n") - F.col("both")) * near).select("a", "b"))
 
 
+def _n(place: Column | str) -> Column:
+    return F.shiftright(place, 32)
+
+
+def _overlap(place: Column, other: Column) -> Column:
+    """How many shingles two sets can have in common: as many as come before, at and behind the shared one of their prefixes."""
+    at, other_at = place.bitwiseAND(F.lit(2**32 - 1)), other.bitwiseAND(F.lit(2**32 - 1))
+    return F.least(at, other_at) + F.least(_n(place) - at, _n(other) - other_at)
+
+
+def _able(place: Column, other: Column) -> Column:
+    """Whether that is enough for the similarity NEAR."""
+    near, of = NEAR
+    return _overlap(place, other) * (of + near) >= (_n(place) + _n(other)) * near
+
+
+def _with_ends(members: DataFrame, label: str) -> DataFrame:
+    """members (block, g, place, label) of the blocks that hold two labels or more, with two of its rows each.
+
+    low: the row of the least label; drawn: one drawn for the block.
+    """
+    block = Window.partitionBy("block")
+    one = F.struct(*dict.fromkeys([label, "g", "place"]))
+    drawn = F.min(F.struct(F.xxhash64(label, "block").alias("order"), one.alias("one"))).over(block)
+    ends = members.select("*", F.min(one).over(block).alias("low"), drawn.alias("drawn"), F.max(label).over(block).alias("high"))
+    columns = [F.col(f"{row}.{c}").alias(f"{end}_{c}") for end, row in (("low", "low"), ("drawn", "drawn.one")) for c in dict.fromkeys([label, "g", "place"])]
+    return ends.where(F.col(f"low.{label}") != F.col("high")).select(*members.columns, *columns)
+
+
+def _pair(g: Column, place: Column, other: Column, other_place: Column) -> list[Column]:
+    return [F.least(g, other).alias("a"), F.greatest(g, other).alias("b"), (_n(place) + _n(other_place)).alias("n")]
+
+
+def _likeliest(ends: DataFrame, label: str) -> DataFrame:
+    """a, b, n: for each g, of the low and of the drawn rows of its blocks that have another label, the one it can have most in common with."""
+    g, place = F.col("g"), F.col("place")
+    best = []
+    for end in ("low", "drawn"):
+        other, other_place = F.col(f"{end}_g"), F.col(f"{end}_place")
+        share = _overlap(place, other_place) / (_n(place) + _n(other_place))
+        rows = F.when((F.col(label) != F.col(f"{end}_{label}")) & _able(place, other_place), F.struct(share.alias("share"), place.alias("place"), other.alias("g"), other_place.alias("other_place")))
+        best.append(F.max(rows).alias(end))
+    found = ends.groupBy("g").agg(*best)
+    return reduce(DataFrame.unionByName, [found.where(F.col(e).isNotNull()).select(*_pair(g, F.col(f"{e}.place"), F.col(f"{e}.g"), F.col(f"{e}.other_place"))) for e in ("low", "drawn")])
+
+
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """a, b, n: sets of one fingerprint with the least of them, and of fingerprints that hang together, by pigeonhole blocks."""
+    own = nodes.groupBy("fp").agg(F.min(F.struct("g", "n")).alias("least"))
+    equal = nodes.join(own, "fp").where("g != least.g").select(F.least("g", "least.g").alias("a"), F.greatest("g", "least.g").alias("b"), (F.col("n") + F.col("least.n")).alias("n"))
+    prints = checkpointed(own.select(F.col("least.g").alias("id"), "fp"))
+    sizes = own.select(F.col("least.g").alias("id"), F.col("least.n").alias("n"))
+    met = links(prints).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    near = met.join(sizes.toDF("a", "a_n"), "a").join(sizes.toDF("b", "b_n"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("a_n") + F.col("b_n")).alias("n"))
+    return equal.unionByName(near)
+
+
 def near_groups(docs: DataFrame, words_per_shingle: int = 5) -> DataFrame:
     """id, key, component: the least row (id, key) of each distinct shingle set, and a number for its group of near copies.
 
-    Groups are the components of all pairs of sets of similarity NEAR. A block is
-    the sets with one shingle in their prefix. Of the pairs in a block, those with
-    its least set and with one drawn for the block are looked at first; then only
-    pairs of two components. So a large group of different near copies makes about
-    as many rows as it has sets.
+    Groups are the components of all pairs of sets of similarity NEAR. First come pairs
+    of fingerprints within radius. A block, then, is the sets with one shingle in their
+    prefix. Twice each set is held against the likeliest of two sets that stand for its
+    blocks; then all pairs of a block, but only of those that are in two components by
+    then. So a large group of different near copies makes about as many rows as it has
+    sets.
     """
-    ship_code(docs.sparkSession)
+    spark = docs.sparkSession
+    ship_code(spark)
     near, of = NEAR
-    rows = _prefixed(docs, words_per_shingle).groupBy("g", "n", *PARITY)
-    nodes = checkpointed(rows.agg(F.min(F.struct("id", "key")).alias("node"), F.min("prefix").alias("prefix")))
-    _free(docs)
-    placed = nodes.select("g", "n", F.posexplode("prefix").alias("at", "block"))
-    block, one = Window.partitionBy("block"), F.struct("g", "n", "at")
-    drawn = F.min(F.struct(F.xxhash64("g", "block").alias("order"), one.alias("one"))).over(block)
-    shared = placed.select("*", F.min(one).over(block).alias("low"), drawn.alias("drawn"), F.max("g").over(block).alias("high")).where("low.g != high")
-    ends = [F.col(f"{end}.{c}").alias(f"{end[:3]}_{c}") for end in ("low", "drawn.one") for c in ("g", "n", "at")]
-    blocks = checkpointed(shared.select("block", "g", "n", "at", *ends))
-    _free(docs)
-
-    def able(n: Column, at: Column) -> Column:
-        """Whether enough shingles can be in common: as many as come before, at and behind the block's one."""
-        common = F.least(at, F.col("at")) + F.least(n - at, F.col("n") - F.col("at"))
-        return common * (of + near) >= (n + F.col("n")) * near
-
-    def pair(g: str, n: str) -> list[Column]:
-        return [F.least(g, "g").alias("a"), F.greatest(g, "g").alias("b"), (F.col(n) + F.col("n")).alias("n")]
-
-    # first, every set of a block is held against two of it only
-    to_ends = [blocks.where((F.col(f"{e}_g") != F.col("g")) & able(F.col(f"{e}_n"), F.col(f"{e}_at"))).select(*pair(f"{e}_g", f"{e}_n")) for e in ("low", "dra")]
-    first = _verified(to_ends[0].unionByName(to_ends[1]), nodes, docs, words_per_shingle)
-    stars = connected_components(first, "a", "b").toDF("g", "component")
-    _free(docs)
-
-    # then all pairs of a block, but for those that are known to be in one component
-    folded = [reduce(lambda x, y: x.bitwiseXOR(y), [F.col(p) for p in PARITY[i::4]]).alias(f"q{i}") for i in range(4)]
-    known = checkpointed(nodes.select("g", *folded).join(stars, "g", "left").withColumn("component", F.coalesce("component", "g")))
-    named = blocks.select("block", "g", "n", "at").join(known, "g")
-    mixed = named.select("*", F.min("component").over(block).alias("low"), F.max("component").over(block).alias("high")).where("low != high").drop("low", "high")
-    still = checkpointed(mixed)
-    left = still.select("block", *(F.col(c).alias("a_" + c) for c in still.columns if c != "block"))
-    differ = reduce(add, [F.bit_count(F.col(f"a_q{i}").bitwiseXOR(F.col(f"q{i}"))) for i in range(4)])
-    likely = able(F.col("a_n"), F.col("a_at")) & (differ * (of + near) <= (F.col("a_n") + F.col("n")) * (of - near))
-    others = left.join(still, "block").where((F.col("a_component") < F.col("component")) & likely)
-    between = _verified(others.select(*pair("a_g", "a_n")), nodes, docs, words_per_shingle)
-    groups = connected_components(first.unionByName(between), "a", "b").toDF("g", "component")
-    return nodes.join(groups, "g", "left").select("node.id", "node.key", F.coalesce("component", "g").alias("component"))
+    with scratch(spark) as keep:
+        rows = _prefixed(docs, words_per_shingle).groupBy("g", "n", "fp", *PARITY)
+        nodes = keep(rows.agg(F.min(F.struct("id", "key")).alias("node"), F.min("prefix").alias("prefix")), "nodes")
+        _free(docs)
+        placed = nodes.select("g", "n", F.posexplode("prefix").alias("at", "block"))
+        placed = placed.select("block", "g", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long")).alias("place"))
+        ends = keep(_with_ends(placed, "g"), "ends")
+        _free(docs)
+        told = nodes.select("g", "n", "fp", "node", *PARITY)
+        edges = _verified(_by_fingerprint(told).unionByName(_likeliest(ends, "g")), told, docs, words_per_shingle)
+
+        def labelled(members: DataFrame) -> DataFrame:
+            stars = connected_components(edges, "a", "b").toDF("g", "component")
+            _free(docs)
+            return members.select("block", "g", "place").join(stars, "g", "left").withColumn("component", F.coalesce("component", "g"))
+
+        ends = keep(_with_ends(labelled(ends), "component"), "mixed")
+        edges = checkpointed(edges.unionByName(_verified(_likeliest(ends, "component"), told, docs, words_per_shingle)))
+
+        members = labelled(ends)
+        block = Window.partitionBy("block")
+        mixed = members.select("*", F.min("component").over(block).alias("low"), F.max("component").over(block).alias("high")).where("low != high").drop("low", "high")
+        folded = [reduce(lambda x, y: x.bitwiseXOR(y), [F.col(p) for p in PARITY[i::4]]).alias(f"q{i}") for i in range(4)]
+        still = keep(mixed.join(told.select("g", *folded), "g"), "still")
+        left = still.select("block", *(F.col(c).alias("a_" + c) for c in still.columns if c != "block"))
+        differ = reduce(add, [F.bit_count(F.col(f"a_q{i}").bitwiseXOR(F.col(f"q{i}"))) for i in range(4)])
+        place, other = F.col("a_place"), F.col("place")
+        likely = _able(place, other) & (differ * (of + near) <= (_n(place) + _n(other)) * (of - near))
+        others = left.join(still, "block").where((F.col("a_component") < F.col("component")) & likely)
+        between = _verified(others.select(*_pair(F.col("a_g"), place, F.col("g"), other)), told, docs, words_per_shingle)
+        groups = connected_components(edges.unionByName(between), "a", "b").toDF("g", "component")
+        return checkpointed(told.join(groups, "g", "left").select("node.id", "node.key", F.coalesce("component", "g").alias("component")))
 
 
 def near_dedup(docs: DataFrame, words_per_shingle: int = 5) -> DataFrame:
