@@ -29,3 +29,8 @@ def floor_millis(millis: Column, name: str) -> Column:
 def epoch_millis(ts: Column) -> Column:
     """Epoch milliseconds of a timestamp, with or without time zone (then UTC)."""
     return F.unix_millis(ts.cast("timestamp"))
+
+
+def parse_time(text: Column, layout: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """Epoch milliseconds of a time written in a layout; null where it isn't one."""
+    return F.unix_millis(F.try_to_timestamp(text, F.lit(layout)))

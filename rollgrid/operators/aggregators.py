@@ -40,6 +40,22 @@ ON_THE_FLY: dict[str, OnTheFly] = {
     "AVG": OnTheFly(("SUM", "COUNT"), lambda total, n: F.when(n != 0, total / n)),
 }
 
+#: Aggregates that run over the buckets of a group in time, of a stored one.
+RUNNING: dict[str, str] = {"CUM_SUM": "SUM"}
+
+#: Composite aggregates keep some of the sub groups of each group: the order in which they rank a value.
+COMPOSITE: dict[str, Callable[[Column], Column]] = {"TOPN": lambda value: value.desc(), "BOTTOMN": lambda value: value.asc()}
+
+
+def known(name: str) -> bool:
+    """Whether a measure can have this aggregator by itself."""
+    return name in INCREMENTAL or name in ON_THE_FLY or name in RUNNING
+
+
+def register_composite(name: str, order: Callable[[Column], Column]) -> None:
+    """order: of values, those that are kept first."""
+    COMPOSITE[name] = order
+
 
 def register_incremental(name: str, aggregator: Incremental) -> None:
     INCREMENTAL[name] = aggregator
@@ -55,5 +71,5 @@ def stored(aggregators: Iterable[str]) -> list[str]:
     """The incremental aggregators that have to be stored for the given ones."""
     out: list[str] = []
     for a in aggregators:
-        out += [x for x in (ON_THE_FLY[a].children if a in ON_THE_FLY else (a,)) if x not in out]
+        out += [x for x in (ON_THE_FLY[a].children if a in ON_THE_FLY else (RUNNING.get(a, a),)) if x not in out]
     return out

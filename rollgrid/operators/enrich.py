@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A lookup side is broadcast up to as many rows; beyond it, Catalyst chooses the join.
-BROADCAST_ROWS = 1_000_000
+#: A lookup side is broadcast if Catalyst estimates it at no more bytes; beyond it, Catalyst chooses the join.
+BROADCAST_BYTES = 64 << 20
 
 
 def last_by_key(lookup: DataFrame, keys: list[str], position: str) -> DataFrame:
@@ -23,7 +23,8 @@ def parse_mapping(text: str | None) -> list[tuple[str, str]]:
 
 
 def _small(lookup: DataFrame) -> bool:
-    return lookup.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    """By the optimizer's estimate of its bytes, without running anything."""
+    return int(lookup._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= BROADCAST_BYTES
 
 
 def _joined(stream: DataFrame, lookup: DataFrame, on: list[tuple[str, str]], take: list[str]) -> DataFrame:

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollgrid.functions.timebuckets import ALL_TIME, bucket_millis
-from rollgrid.operators.aggregators import INCREMENTAL, ON_THE_FLY
-from rollgrid.plans.schema import Descriptor, Schema, Value
+from rollgrid.operators.aggregators import COMPOSITE, INCREMENTAL, ON_THE_FLY
+from rollgrid.plans.schema import TYPES, Descriptor, Schema, Value
 
 
 def _stored_columns(schema: Schema) -> list[tuple[str, str]]:
@@ -47,7 +47,8 @@ def rollup(events: DataFrame, schema: Schema, time: str = "time", arrival: str |
     at = F.col(arrival or time) if arrival or schema.has_time else F.lit(0)
     step = reduce(gcd, (bucket_millis(b) for b in schema.buckets)) if schema.has_time else 0
     base_time = (F.col(time) - F.pmod(F.col(time), F.lit(step))) if schema.has_time else F.lit(None).cast("long")
-    keys = [_source(k.expression, k.name, key_aliases).alias(k.name) for k in schema.keys]
+    grouped = {n for d in schema.descriptors for n in d.keys}
+    keys = [_source(k.expression, k.name, key_aliases).alias(k.name) for k in schema.keys if k.name in grouped]
     values = {v.name: _value(v, value_aliases) for v in schema.values}
     partials = [INCREMENTAL[a].partial(values[n], at).alias(f"{n}:{a}") for n, a in columns]
     base = events.groupBy(*keys, base_time.alias("time")).agg(*partials)
@@ -57,7 +58,12 @@ def rollup(events: DataFrame, schema: Schema, time: str = "time", arrival: str |
 def _expand(base: DataFrame, schema: Schema, columns: list[tuple[str, str]]) -> DataFrame:
     """Every descriptor's groups, from partial results by all keys."""
     names = schema.key_names()
-    types = dict(base.dtypes)
+    types = {k.name: TYPES[k.type] for k in schema.keys} | dict(base.dtypes)
+    if len(schema.descriptors) == 1:  # what was aggregated is the result
+        (d,) = schema.descriptors
+        own = [(F.col(f"`{n}`") if n in d.keys else F.lit(None).cast(types[n])).alias(n) for n in names]
+        held = [INCREMENTAL[a].value(F.col(f"`{n}:{a}`")).alias(f"{n}:{a}") for n, a in columns]
+        return base.select(F.lit(d.dims).alias("dims"), F.lit(d.bucket).alias("bucket"), "time", *own, *held)
 
     def place(d: Descriptor) -> Column:
         start = F.lit(None).cast("long") if d.bucket == ALL_TIME else F.col("time") - F.pmod(F.col("time"), F.lit(bucket_millis(d.bucket)))
@@ -107,12 +113,17 @@ def on_the_fly(cube: DataFrame, measure: str, aggregator: str) -> Column:
 def cumulative_sum(cube: DataFrame, schema: Schema, column: str) -> DataFrame:
     """Adds "measure:CUM_SUM": the running sum of a stored SUM over time, in each group of keys."""
     measure = column.rpartition(":")[0]
+    return cube.withColumn(f"{measure}:CUM_SUM", running_sum(F.col(f"`{column}`"), schema))
+
+
+def running_sum(value: Column, schema: Schema) -> Column:
+    """Over the buckets of a group in time, so over as many rows as it has buckets."""
     over = Window.partitionBy("dims", "bucket", *[f"`{n}`" for n in schema.key_names()]).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    return cube.withColumn(f"{measure}:CUM_SUM", F.sum(f"`{column}`").over(over))
+    return F.sum(value).over(over)
 
 
 def rank_composite(cube: DataFrame, schema: Schema, measure: str, parent: tuple[str, ...], sub: tuple[str, ...], bucket: str, aggregator: str, embedded: str, count: int) -> DataFrame:
-    """bucket, time, parent keys, sub_key, value, rank: the count largest (TOPN) or smallest (BOTTOMN).
+    """bucket, time, parent keys, sub_key, value, rank: the count largest (TOPN), smallest (BOTTOMN) or first of another order.
 
     Ranked by value, then by sub key; sub keys of several columns are joined by
     commas. Null values are not ranked.
@@ -120,7 +131,7 @@ def rank_composite(cube: DataFrame, schema: Schema, measure: str, parent: tuple[
     own = schema.find(set(parent) | set(sub), bucket)
     value = on_the_fly(cube, measure, embedded) if embedded in ON_THE_FLY else F.col(f"`{measure}:{embedded}`")
     rows = cube.where((F.col("dims") == own.dims) & (F.col("bucket") == bucket)).select("bucket", "time", *[f"`{p}`" for p in parent], F.concat_ws(",", *[F.col(f"`{s}`").cast("string") for s in sorted(sub)]).alias("sub_key"), value.alias("value")).where("value IS NOT NULL")
-    order = F.desc("value") if aggregator == "TOPN" else F.asc("value")
+    order = COMPOSITE[aggregator](F.col("value"))
     over = Window.partitionBy("bucket", "time", *[f"`{p}`" for p in parent]).orderBy(order, "sub_key")
     return rows.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= count)
 

@@ -1,7 +1,9 @@
 """Running maxima and sums over a global order, without a single-task window.
 
-The order's leading column is cut into ranges; each range is scanned on its own,
-and what came before it is added from a table with one row for each range.
+The order's leading column is cut into ranges of about as many rows each; each
+range is scanned on its own, and what came before it is added from a table with
+one row for each range. Nulls of the leading column come first, in a range of
+their own.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running(rows: DataFrame, order: list[str], value: str, kind: str, out: str, inclusive: bool = False, ranges: int = 64) -> DataFrame:
+def running(rows: DataFrame, order: list[str], value: str, kind: str, out: str, inclusive: bool = False, ranges: int | None = None) -> DataFrame:
     """rows with the maximum ("max") or sum ("sum") of value over all rows before, in order.
 
     order: columns of which the first is a number. inclusive: a row counts itself.
@@ -19,13 +21,14 @@ def running(rows: DataFrame, order: list[str], value: str, kind: str, out: str,
     if kind not in ("max", "sum"):
         raise ValueError(f"unknown kind {kind!r}")
     fold = {"max": F.max, "sum": F.sum}[kind]
+    ranges = ranges or max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     lead = F.col(order[0]).cast("double")
-    bounds = rows.agg(F.min(lead).alias("_low"), F.max(lead).alias("_high"))
-    width = (F.col("_high") - F.col("_low")) / ranges
-    part = F.when(width > 0, F.least(F.floor((lead - F.col("_low")) / width), F.lit(ranges - 1))).otherwise(0).cast("int")
-    ranged = rows.crossJoin(F.broadcast(bounds)).withColumn("_range", part).drop("_low", "_high")
+    shares = [i / ranges for i in range(1, ranges)]
+    cuts = rows.agg(F.percentile_approx(lead, shares, 100 * ranges).alias("_cuts"))  # one row
+    part = F.when(lead.isNull(), -1).otherwise(F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c < lead)))
+    ranged = rows.crossJoin(F.broadcast(cuts)).withColumn("_range", part.cast("int")).drop("_cuts")
     totals = ranged.groupBy("_range").agg(fold(value).alias("_total"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most ranges rows
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range at most
     earlier = totals.select("_range", fold("_total").over(before).alias("_earlier"))
     own = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     joined = ranged.withColumn("_own", fold(value).over(own)).join(F.broadcast(earlier), "_range")

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 from collections.abc import Callable
+from datetime import datetime, timedelta
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollgrid.functions import formatting
-from rollgrid.functions.timebuckets import epoch_millis
-from rollgrid.operators import bloom, dedup, enrich, keyed_store, laggards, merge, partitioning
+from rollgrid.functions import codecs, formatting
+from rollgrid.functions.timebuckets import epoch_millis, parse_time
+from rollgrid.operators import bloom, bucket_store, dedup, enrich, keyed_store, laggards, merge, partitioning
 from rollgrid.operators.rollup import aggregate_rows, collect_composite, cumulative_sum, on_the_fly, rank_composite, rollup
-from rollgrid.plans.query import answer, describe_schema, expand_keys, parse_query, run_query
+from rollgrid.plans.query import answer, ask, describe_schema, expand_keys, parse_query, single_key
 from rollgrid.plans.schema import Schema, parse_schema
 from rollgrid.session import read_table
-from rollgrid.sources import event_log, lookups
-from rollgrid.streaming import jobs
+from rollgrid.sources import event_log, lookups, replay
+from rollgrid.streaming import jobs, server
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -179,9 +182,25 @@ def first_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 # dimension queries ----------------------------------------------------------------------
 
 
-def _ask(spark: SparkSession, sf_dir: str, schema: Schema, data: dict, **top: object) -> DataFrame:
+#: The times, in milliseconds, that a timestamp can be written for.
+YEAR_1, YEAR_9999 = -62_135_596_800_000, 253_402_300_799_000
+
+
+def _scan(start: int | None, end: int) -> Column:
+    """Times of events from start up to end, on the column that the table holds."""
+
+    def literal(millis: int) -> str:
+        within = min(max(millis, YEAR_1), YEAR_9999)
+        return f"TIMESTAMP_NTZ '{(datetime(1970, 1, 1) + timedelta(milliseconds=within)).isoformat(sep=' ')}'"
+
+    later = F.expr(f"ts < {literal(end)}")
+    return later if start is None else F.expr(f"ts >= {literal(start)}") & later
+
+
+def _ask(spark: SparkSession, sf_dir: str, schema: Schema, data: dict, now: int | None = None, **top: object) -> DataFrame:
     asked = parse_query({"id": "q", "type": "dataQuery", "data": data, **top}, schema)
-    return _round(answer(rollup(_events(spark, sf_dir), schema), schema, asked))
+    rows = read_table(spark, sf_dir, "events").withColumn("time", epoch_millis(F.col("ts"))).withColumn("grp", F.col("user_id") % 10)
+    return _round(ask(rows, schema, asked, scan=_scan, now=now))
 
 
 FROM, TO = 1_704_500_000_000, 1_705_500_000_000
@@ -239,9 +258,62 @@ def query_schema_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe_schema(rollup(_events(spark, sf_dir), schema), schema)
 
 
-@query("""SELECT 0::BIGINT AS time, '' AS event_type, 0::DOUBLE AS "value:SUM" WHERE false""")
+@query(f"""{E}, {CUBE_1D}, d AS (SELECT max(time) AS last FROM c), whole AS (SELECT count(DISTINCT time) AS present FROM c, d WHERE time >= last - 4 * {DAY})
+SELECT 5 AS asked, time, event_type, round(s, 4) AS "value:SUM" FROM c, d, whole WHERE present = 5 AND time >= last - 4 * {DAY}""")
 def query_incomplete_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ask(spark, sf_dir, BY_TYPE, {"time": {"latestNumBuckets": 1_000_000, "bucket": "1d"}, "keys": {"event_type": []}, "fields": ["time", "event_type", "value:SUM"]}, countdown=3, incompleteResultOK=False)
+    """Five buckets that are all there are answered, a million that aren't are not."""
+
+    def asked(n: int) -> DataFrame:
+        data = {"time": {"latestNumBuckets": n, "bucket": "1d"}, "keys": {"event_type": []}, "fields": ["time", "event_type", "value:SUM"]}
+        return _ask(spark, sf_dir, BY_TYPE, data, countdown=3, incompleteResultOK=False).select(F.lit(n).alias("asked"), "*")
+
+    return asked(5).unionByName(asked(1_000_000))
+
+
+NOW = 1_705_000_000_000
+
+
+@query(f"""{E}, {CUBE_1H} SELECT time, event_type, round(s, 4) AS "value:SUM" FROM c WHERE time BETWEEN {NOW - NOW % HOUR} - 47 * {HOUR} AND {NOW - NOW % HOUR}""")
+def query_latest_system_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ask(spark, sf_dir, BY_TYPE, {"time": {"latestNumBuckets": 48, "bucket": "1h"}, "keys": {"event_type": []}, "fields": ["time", "event_type", "value:SUM"]}, now=NOW)
+
+
+@query(f"""{E}, {CUBE_1D}, r AS (SELECT time, event_type, s, sum(s) OVER (PARTITION BY event_type ORDER BY time) AS total FROM c)
+SELECT time, event_type, round(s, 4) AS "value:SUM", round(total, 4) AS "value:CUM_SUM" FROM r WHERE time BETWEEN {FROM - FROM % DAY} AND {TO - TO % DAY}""")
+def query_cum_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = _schema([TYPE], ["SUM", "CUM_SUM"], ["1d"], [{"combination": ["event_type"]}])
+    return _ask(spark, sf_dir, schema, {"time": {"from": FROM, "to": TO, "bucket": "1d"}, "keys": {"event_type": []}, "fields": ["time", "event_type", "value"]})
+
+
+@query(f"""{E}, g AS (SELECT {_floor(DAY)} AS time, event_type, grp::VARCHAR AS k, count(value) AS n, max(value) AS hi FROM e WHERE event_type IN ('click', 'view') GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY time, event_type ORDER BY n DESC, k) AS top, row_number() OVER (PARTITION BY time, event_type ORDER BY hi, k) AS low FROM g WHERE time >= (SELECT max(time) - max(time) % {DAY} FROM e) - 9 * {DAY})
+SELECT time, event_type, '[' || string_agg('{{' || k || ':' || n || '}}', ',' ORDER BY top) FILTER (top <= 3) || ']' AS "value:TOPN-COUNT-3_grp",
+'[' || string_agg('{{' || k || ':' || hi || '}}', ',' ORDER BY low) FILTER (low <= 2) || ']' AS "value:BOTTOMN-MAX-2_grp" FROM r GROUP BY 1, 2""")
+def query_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = [{"aggregator": "TOPN", "count": "3", "embededAggregator": "COUNT", "subCombinations": ["grp"]}, {"aggregator": "BOTTOMN", "count": "2", "embededAggregator": "MAX", "subCombinations": ["grp"]}]
+    schema = _schema([TYPE, GROUP], told, ["1d", "1h"], [{"combination": ["event_type"]}])
+    found = _ask(spark, sf_dir, schema, {"time": {"latestNumBuckets": 10, "bucket": "1d"}, "keys": {"event_type": ["click", "view"]}, "fields": ["time", "event_type", "value:TOPN-COUNT-3_grp", "value:BOTTOMN:MAX:2:grp"]})
+    composites = [c for c in found.columns if "_grp" in c]
+    return found.select("time", "event_type", *[formatting.format_entries(F.col(f"`{c}`")).alias(c) for c in composites])
+
+
+@query(f"""{E} SELECT {_floor(DAY)} AS time, event_type, grp, round(sum(value), 4) AS "value:SUM" FROM e WHERE event_type = 'click' AND grp = 3 GROUP BY 1, 2, 3""")
+def query_single_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = parse_query({"id": "q", "data": {"time": {"from": 0, "to": 2**42, "bucket": "1d"}, "keys": {"event_type": "click", "grp": [3]}, "fields": ["time", "value:SUM"]}}, BOTH)
+    keys = single_key(asked)
+    return _ask(spark, sf_dir, BOTH, {"time": {"from": 0, "to": 2**42, "bucket": "1d"}, "keys": keys, "fields": ["time", "value:SUM"]})
+
+
+@query(f"""{E} SELECT t.event_type, g.grp FROM (SELECT DISTINCT event_type FROM e) t CROSS JOIN (SELECT DISTINCT grp FROM e) g WHERE grp <> 7 AND NOT (event_type = 'click' AND grp < 5)""")
+def query_key_validator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir)
+
+    def valid(name: str, bound: list[str]) -> Column | None:
+        if name == "grp":
+            return F.col("grp") != 7
+        return ~((F.col("event_type") == "click") & (F.col("grp") < 5)) if "grp" in bound else None
+
+    return expand_keys({"event_type": rows.select("event_type"), "grp": rows.select("grp")}, order=lambda names: sorted(names, reverse=True), valid=valid)
 
 
 @query(f"""{E} SELECT t.event_type, g.grp FROM (SELECT DISTINCT event_type FROM e) t CROSS JOIN (SELECT DISTINCT grp FROM e) g WHERE NOT (event_type = 'error' AND grp > 4)""")
@@ -384,7 +456,15 @@ def dedup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.dedup_counts(dedup.dedup_ordered(_arriving(spark, sf_dir), "user_id", "secs", ARRIVAL, 20 * 86_400, 86_400))
 
 
-@query()
+PERIOD, JUMP = 20 * 86_400, 3 * 86_400
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_ms(ts) // 1000 AS secs, (event_id * 7919) % 10007 AS arrival FROM events),
+o AS (SELECT *, row_number() OVER (ORDER BY arrival, event_id) AS pos FROM e),
+r AS (SELECT {PERIOD - 1}::BIGINT AS clock, 0::BIGINT AS pos
+  UNION ALL SELECT arg_min(o.secs, o.pos), min(o.pos) FROM r JOIN o ON o.pos > r.pos AND o.secs > r.clock AND (r.clock - {PERIOD} + 1 <= 0 OR o.secs - r.clock <= {JUMP}) GROUP BY r.pos),
+j AS (SELECT o.*, CASE WHEN secs < clock - {PERIOD} + 1 THEN 'expired' WHEN clock - {PERIOD} + 1 > 0 AND secs - clock > {JUMP} THEN 'error' ELSE 'unique' END AS v FROM o ASOF JOIN r ON o.pos > r.pos)
+SELECT event_id, CASE WHEN v = 'unique' AND row_number() OVER (PARTITION BY v, secs // 86400, user_id ORDER BY pos) > 1 THEN 'duplicate' ELSE v END AS verdict FROM j""")
 def dedup_max_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.dedup_ordered(_arriving(spark, sf_dir), "user_id", "secs", ARRIVAL, 20 * 86_400, 86_400, max_jump=3 * 86_400).select("event_id", "verdict")
 
@@ -399,6 +479,41 @@ def bloom_fpp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.crossJoin(F.broadcast(others)).select("missed", "within_bound", "n")
 
 
+@query("""WITH e AS (SELECT event_id, user_id FROM events), h AS (SELECT max(event_id) // 4 AS cut FROM e)
+SELECT event_id, CASE WHEN user_id IN (SELECT user_id FROM e, h WHERE event_id <= cut) OR row_number() OVER (PARTITION BY user_id ORDER BY event_id) > 1 THEN 'duplicate' ELSE 'unique' END AS verdict
+FROM (SELECT e.* FROM e, h WHERE event_id > cut)""")
+def dedup_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events judged against a store that holds the keys of those before, by way of a bloom filter."""
+    rows = read_table(spark, sf_dir, "events").select("event_id", "user_id", epoch_millis(F.col("ts")).alias("time"))
+    cut = (rows.agg(F.max("event_id")).first()[0] or 0) // 4
+    store = bucket_store.BucketStore(spark, f"{_scratch(spark)}/keys-{uuid4()}", 8)
+    for window in (1, 1, 2):  # the first window is written again
+        part = rows.where(F.col("event_id") <= cut).where(F.col("event_id") % 2 == window - 1)
+        store.absorb(store.judge(part, "user_id", ["event_id"], bloom.shape(10_000, 0.01)) if window == 2 else dedup.dedup(part, "user_id", ["event_id"]), window, "user_id", "time")
+    return store.judge(rows.where(F.col("event_id") > cut), "user_id", ["event_id"], bloom.shape(10_000, 0.01)).select("event_id", "verdict")
+
+
+@query("SELECT user_id % 7 AS part, count(DISTINCT user_id) AS keys FROM events GROUP BY 1")
+def dedup_store_rescaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of a store of 8 buckets after a move to 3, compaction and expiry: none is lost."""
+    rows = read_table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), epoch_millis(F.col("ts")).alias("time"))
+    store = bucket_store.BucketStore(spark, f"{_scratch(spark)}/keys-{uuid4()}", 8)
+    for window in range(3):
+        store.save(rows.where(F.pmod("key", F.lit(3)) == window), window)
+    store.save(rows.limit(1).select((F.col("key") * 0 - 5).alias("key"), F.lit(0).cast("long").alias("time")), 3)
+    store.expire(before=1, committed=3)  # drops window 3, whose only time is 0
+    moved = store.rescale(f"{_scratch(spark)}/keys-{uuid4()}", 3)
+    moved.compact(1)
+    return moved.load().groupBy(F.pmod("key", F.lit(7)).alias("part")).agg(F.count("*").alias("keys"))
+
+
+@query("""SELECT event_id, CASE WHEN user_id % 5 = 1 THEN 'expired' WHEN user_id % 5 = 2 THEN 'error' WHEN row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 THEN 'unique' ELSE 'duplicate' END AS verdict FROM events""")
+def dedup_invalid_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("user_id") % 5 == 1, -1).when(F.col("user_id") % 5 == 2, -2).otherwise(F.col("user_id")).alias("bucket"))
+    judged = dedup.dedup(rows.where("bucket >= 0"), "user_id", ["event_id"])
+    return judged.unionByName(rows.where("bucket < 0").withColumn("verdict", bucket_store.validity())).select("event_id", "verdict")
+
+
 # enrichment -----------------------------------------------------------------------------------------
 
 
@@ -496,7 +611,7 @@ def kv_put_after_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed_store.latest(keyed_store.compact(_log(spark, sf_dir), 5000))
 
 
-@query("""WITH r AS (SELECT o_custkey AS s, o_custkey + o_orderkey % 3 AS e FROM orders WHERE o_orderkey % 7 = 0), b AS (SELECT s, e, max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM r),
+@query("""WITH r AS (SELECT DISTINCT o_custkey AS s, o_custkey + o_orderkey % 3 AS e FROM orders WHERE o_orderkey % 7 = 0), b AS (SELECT s, e, max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM r),
 i AS (SELECT s, e, sum(CASE WHEN p IS NULL OR s > p THEN 1 ELSE 0 END) OVER (ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM b) SELECT min(s) AS start, max(e) AS "end" FROM i GROUP BY g""")
 def range_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranges = read_table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("start"), (F.col("o_custkey") + F.col("o_orderkey") % 3).alias("end"))
@@ -516,9 +631,69 @@ def kv_range_partition_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed_store.file_index(keyed_store.latest(_log(spark, sf_dir).where("op = 'PUT'")), 64)
 
 
-@query("SELECT l_linenumber AS bucket, count(*) AS puts, sum(l_quantity) AS bytes FROM lineitem GROUP BY ROLLUP (l_linenumber)")
+@query("""WITH log AS (SELECT o_custkey % 4 AS bucket, CASE WHEN o_orderkey % 11 = 0 THEN 'DELETE' ELSE 'PUT' END AS op, strlen(o_orderstatus) AS size FROM orders UNION ALL SELECT o_orderkey % 4, 'PURGE', 0 FROM orders WHERE o_orderkey % 97 = 0)
+SELECT bucket, count(*) FILTER (op = 'PUT') AS puts, count(*) FILTER (op = 'DELETE') AS deletes, count(*) FILTER (op = 'PURGE') AS purges, sum(size)::BIGINT AS bytes FROM log GROUP BY ROLLUP (bucket)""")
 def kv_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyed_store.io_counters(read_table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("bucket"), F.lit(1).cast("long").alias("puts"), F.col("l_quantity").alias("bytes")))
+    return keyed_store.log_counters(_log(spark, sf_dir))
+
+
+@query("""WITH k AS (SELECT o_custkey % 4 AS bucket, o_custkey AS key FROM orders WHERE o_orderkey % 11 <> 0 GROUP BY 1, 2), f AS (SELECT bucket, key, (row_number() OVER (PARTITION BY bucket ORDER BY key) - 1) // 64 AS file FROM k),
+i AS (SELECT bucket, file, min(key) AS first_key, max(key) AS last_key, count(*) AS n FROM f GROUP BY 1, 2), p AS (SELECT bucket, lo, lo + 300 AS hi FROM (VALUES (0, 100), (1, 350), (2, 5000)) v(bucket, lo))
+SELECT i.*, CASE WHEN lo IS NULL THEN 'keep' WHEN lo <= first_key AND hi >= last_key THEN 'delete' ELSE 'rewrite' END AS action FROM i LEFT JOIN p ON i.bucket = p.bucket AND lo <= last_key AND hi >= first_key""")
+def kv_purge_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = keyed_store.file_index(keyed_store.latest(_log(spark, sf_dir).where("op = 'PUT'")), 64)
+    purges = spark.createDataFrame([(0, 100, 400), (1, 350, 600), (1, 500, 650), (2, 5000, 5300)], "bucket long, start long, end long")
+    return keyed_store.purge_plan(index, purges)
+
+
+@query("SELECT o_custkey % 4 AS bucket, o_custkey AS key, arg_max(o_orderstatus, o_orderkey) AS value FROM orders WHERE o_orderkey % 11 <> 0 AND o_custkey IN (2, 6, 10, 11, 402, 1002, 99999999) AND o_custkey % 4 = 2 GROUP BY 1, 2")
+def kv_point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{_scratch(spark)}/kv-{uuid4()}"
+    keyed_store.write_sorted(keyed_store.latest(_log(spark, sf_dir).where("op = 'PUT'")), path, 8)
+    return keyed_store.read_keys(spark, path, 2, [2, 6, 10, 11, 402, 1002, 99_999_999]).select("bucket", "key", "value")
+
+
+@query(LOG_SQL.format(where="WHERE version > 5000 OR version <= 2000").replace("% 97 = 0", "% 97 = 0 AND (o_orderkey > 5000 OR o_orderkey <= 2000)") + " " + LIVE)
+def kv_wal_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of a log: the middle one was flushed and cleaned, a later one is cut and written again."""
+    wal, rows = keyed_store.WriteAheadLog(spark, f"{_scratch(spark)}/wal-{uuid4()}", 1000), _log(spark, sf_dir)
+    parts = {1: rows.where("version <= 2000"), 2: rows.where("version > 2000 AND version <= 5000"), 3: rows.where("version > 5000")}
+    for window in (2, 1, 3):
+        wal.append(parts[window], window)
+    wal.append(parts[3].where("false"), 4)
+    wal.truncate(2)
+    wal.append(parts[3], 3)
+    wal.append(parts[1], 4)
+    wal.clean(2)
+    return keyed_store.latest(wal.recover(after=2).drop("window"))
+
+
+@query(f"""{E}, h AS (SELECT {_floor(HOUR)} AS time, event_type, sum(value) AS s FROM e GROUP BY 1, 2)
+SELECT printf('%016x', time) || '000000010000000200000003' || lower(hex(encode(event_type))) AS raw, time, event_type AS keys, 3 AS aggregator_id, row_number() OVER (ORDER BY time, event_type)::INT AS place FROM h""")
+def cube_row_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of cube rows as bytes, read back, in the order of the bytes."""
+    cube = rollup(_events(spark, sf_dir), _schema([TYPE], ["SUM"], ["1h"], [{"combination": ["event_type"]}]))
+    raw = cube.select(codecs.encode_cube_key(F.col("time"), F.lit(1), F.lit(2), F.lit(3), F.col("event_type")).alias("raw"))
+    one = raw.withColumn("one", F.lit(1)).withColumn("bytes", F.hex("raw")).withColumn("lead", F.conv(F.substring(F.hex("raw"), 1, 16), 16, 10).cast("long"))
+    from rollgrid.operators.running import running
+
+    placed = running(one, ["lead", "raw"], "one", "sum", "place", inclusive=True).withColumn("k", codecs.decode_cube_key(F.col("raw")))
+    return placed.select(F.lower("bytes").alias("raw"), "k.time", "k.keys", "k.aggregator_id", F.col("place").cast("int").alias("place"))
+
+
+@query("""SELECT event_id, epoch_ms(date_trunc('second', ts)) AS millis, true AS same, event_id::INT AS small, event_id * 1000003 AS large FROM events""")
+def scalar_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "events")
+    large = F.col("event_id") * 1_000_003
+    return rows.select("event_id", parse_time(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("millis"), (codecs.key_bytes(F.col("event_type")) == F.encode("event_type", "UTF-8")).alias("same"),
+                       codecs.read_little_endian(codecs.little_endian(F.col("event_id"), 4), 4).alias("small"), codecs.read_little_endian(codecs.little_endian(large, 8), 8).alias("large"))
+
+
+@query("""WITH r AS (SELECT s_suppkey AS s, s_suppkey + 3 AS e FROM supplier) SELECT s AS start, e AS "end", s <= 7 AND e >= 7 AS has7, s >= 5 AND e <= 12 AS inside, least(s, 6) AS low, greatest(e, 9) AS high FROM r""")
+def range_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("start"), (F.col("s_suppkey") + 3).alias("end"))
+    both = keyed_store.extended(F.col("start"), F.col("end"), F.lit(6), F.lit(9))
+    return rows.select("start", "end", keyed_store.contains(F.col("start"), F.col("end"), F.lit(7)).alias("has7"), keyed_store.within(F.col("start"), F.col("end"), F.lit(5), F.lit(12)).alias("inside"), both["start"].cast("long").alias("low"), both["end"].cast("long").alias("high"))
 
 
 # records and results ---------------------------------------------------------------------------------------
@@ -598,14 +773,54 @@ def stream_rollup_available_now(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ORACLE_SQL["rollup_event_type_1h"])
 def stream_exactly_once_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that fails after its second batch was stored, and is started again: the batch comes twice, its events count once."""
     schema = _schema([TYPE], ["SUM", "COUNT"], ["1h"], [{"combination": ["event_type"]}])
-    store = jobs.CubeStore(spark, f"{_scratch(spark)}/cube-{uuid4()}", schema)
-    rows = _events(spark, sf_dir)
-    for batch in (0, 1, 1, 0, 2):  # batches run again after a failure
-        store.upsert(rows.where(F.col("event_id") % 3 == batch), batch)
+    folder = f"{_scratch(spark)}/cube-{uuid4()}"
+    store, stream, failures = jobs.CubeStore(spark, folder, schema), _streamed(spark, sf_dir), [1]
+
+    def fragile(rows: DataFrame, batch: int) -> None:
+        store.upsert(rows, batch)
+        if batch in failures:
+            failures.remove(batch)
+            raise RuntimeError("failed after the batch was stored")
+
+    for _ in range(2):
+        try:
+            jobs.run_available(stream, fragile, f"{folder}-checkpoint")
+        except StreamingQueryException:
+            continue
     return _round(store.read().select("time", "event_type", "`value:SUM`", "`value:COUNT`"))
 
 
+@query(f"""{E}, p AS (SELECT *, least(event_id * 4 // ((SELECT max(event_id) FROM e) + 1), 3) AS part FROM e),
+b AS (SELECT batch, p.* FROM p, (VALUES (0), (1), (2)) v(batch) WHERE part <= batch),
+c AS (SELECT batch, {_floor(DAY)} AS time, event_type, count(value) AS n FROM b GROUP BY ALL)
+SELECT batch, 3 - batch AS countdown, c.time::VARCHAR AS time, event_type, n::VARCHAR AS n FROM c WHERE c.time = (SELECT max(time) FROM c d WHERE d.batch = c.batch)""")
+def stream_continuing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query that is answered after each of three batches of a stream of four."""
+    folder = f"{_scratch(spark)}/served-{uuid4()}"
+    schema = _schema([TYPE], ["COUNT"], ["1d"], [{"combination": ["event_type"]}])
+    serving = server.QueryServer(jobs.CubeStore(spark, f"{folder}/cube", schema), f"{folder}/answers")
+    data = {"time": {"latestNumBuckets": 1, "bucket": "1d"}, "keys": {"event_type": []}, "fields": ["time", "event_type", "value:COUNT"]}
+    for text in (json.dumps({"id": "7", "type": "dataQuery", "countdown": 3, "data": data}), "not a query", json.dumps({"id": "8", "type": "schemaQuery"})):
+        serving.submit(text)
+    jobs.run_available(_streamed(spark, sf_dir), serving.on_batch, f"{folder}/checkpoint")
+    told = serving.results().where("id = '7'").withColumn("m", F.from_json("message", "countdown string, data array<map<string,string>>"))
+    rows = told.select("batch", F.col("m.countdown").cast("int").alias("countdown"), F.explode("m.data").alias("d"))
+    return rows.select("batch", "countdown", F.col("d")["time"].alias("time"), F.col("d")["event_type"].alias("event_type"), F.col("d")["value:COUNT"].alias("n"))
+
+
+@query(f"""{E}, p AS (SELECT *, least(event_id * 4 // ((SELECT max(event_id) FROM e) + 1), 3) AS part FROM e),
+t AS (SELECT DISTINCT {_floor(HOUR)} AS time, event_type FROM p WHERE part = 2)
+SELECT t.time, t.event_type, count(value) AS "value:COUNT" FROM t JOIN p ON t.event_type = p.event_type AND t.time = p.time - p.time % {HOUR} WHERE part <= 2 GROUP BY 1, 2""")
+def stream_store_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store passes on after its third batch: the groups that it touched, as they are then."""
+    folder = f"{_scratch(spark)}/cube-{uuid4()}"
+    store = jobs.CubeStore(spark, folder, _schema([TYPE], ["COUNT"], ["1h"], [{"combination": ["event_type"]}]))
+    jobs.run_available(_streamed(spark, sf_dir), store.upsert, f"{folder}-checkpoint")
+    return store.updates(2).select("time", "event_type", "`value:COUNT`")
+
+
 @query(_ordered_sql(20 * 86_400, 86_400).replace("(event_id * 7919) % 10007 AS arrival", "event_id AS arrival"))
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{_scratch(spark)}/verdicts-{uuid4()}"
@@ -629,15 +844,34 @@ def replay_from_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = event_log.EventLog(spark, f"{_scratch(spark)}/log-{uuid4()}")
     rows = read_table(spark, sf_dir, "events").select("event_id", F.create_map(F.lit("user"), F.col("user_id").cast("string")).alias("headers"), F.encode("event_type", "UTF-8").alias("body"))
     last = rows.agg(F.max("event_id")).first()[0]
-    for n in range(last // 2000 + 1):
+    for n in range((last if last is not None else -1) // 2000 + 1):
         log.store(rows.where((F.col("event_id") >= n * 2000) & (F.col("event_id") < (n + 1) * 2000)), n, ["event_id"])
     return log.read(after=event_log.address(1, 99)).select("file_no", "offset", F.decode("body", "UTF-8").alias("body"))
 
 
-@query("SELECT event_id // 500 AS batch, count(*) AS n FROM events GROUP BY 1")
-def rate_limited_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("""WITH n AS (SELECT count(*) AS n FROM events) SELECT size, count(*) AS batches FROM (SELECT unnest(generate_series(0, (n - 1) // 500)) AS b, CASE WHEN b < n // 500 THEN 500 ELSE n % 500 END AS size FROM n) GROUP BY 1""")
+def rate_limited_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of which no batch takes more than a part's share of the rate: how many batches there were of each size."""
     most = event_log.events_per_window(500, 2000, 2)
-    return read_table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / most).alias("batch")).agg(F.count("*").alias("n"))
+    path, sizes = f"{_scratch(spark)}/paced-{uuid4()}", f"{_scratch(spark)}/sizes-{uuid4()}"
+    rows = read_table(spark, sf_dir, "events").select("event_id", "value")
+    replay.write_paced(rows, path, ["event_id"], most)
+
+    def note(batch: DataFrame, number: int) -> None:
+        batch.agg(F.count("*").alias("size")).write.mode("overwrite").parquet(f"{sizes}/batch={number}")
+
+    jobs.run_available(jobs.stream_of(spark, path, rows), note, f"{sizes}-checkpoint")
+    return spark.read.parquet(sizes).groupBy("size").agg(F.count("*").alias("batches"))
+
+
+@query("SELECT c_custkey, false AS late, '2024-03-05 06:07:08' AS at FROM customer")
+def replay_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compressed records replayed with their times set to now."""
+    path = f"{_scratch(spark)}/lines-{uuid4()}"
+    _records(spark, sf_dir).select(F.concat_ws("\x02", "body", F.lit("2001-01-01 00:00:00"))).write.option("compression", "gzip").text(path)
+    moved = replay.move_times(replay.read_lines(spark, path), F.lit("2024-03-05 06:07:08").cast("timestamp"), 3, past_percent=0)
+    parts = F.split("body", "\x02", -1)
+    return moved.select(F.get(parts, F.lit(0)).cast("long").alias("c_custkey"), "late", F.get(parts, F.lit(3)).alias("at"))
 
 
 @query("SELECT user_id % 16 AS part, avg(value) AS latency, CASE WHEN avg(value) > 55 THEN 1 WHEN avg(value) < 45 THEN -1 ELSE 0 END AS load FROM events GROUP BY 1")

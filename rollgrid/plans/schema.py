@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from itertools import combinations
 
 from rollgrid.functions.timebuckets import ALL_TIME, bucket_millis
-from rollgrid.operators.aggregators import INCREMENTAL, ON_THE_FLY, stored
+from rollgrid.operators.aggregators import COMPOSITE, INCREMENTAL, ON_THE_FLY, known, stored
 
 #: Type names of the schema language and their Spark types.
 TYPES = {"boolean": "boolean", "byte": "tinyint", "short": "smallint", "integer": "int", "long": "bigint", "char": "string", "string": "string", "float": "float", "double": "double"}
@@ -43,6 +43,9 @@ class Value:
     composites: tuple[Composite, ...] = ()
     expression: str | None = None
 
+    def composite(self, name: str) -> Composite | None:
+        return next((c for c in self.composites if c.name == name), None)
+
 
 @dataclass(frozen=True)
 class Descriptor:
@@ -94,9 +97,12 @@ def parse_schema(text: str | dict) -> Schema:
         plain, composite = [], []
         for a in v.get("aggregators", ()):
             if isinstance(a, dict):
+                # fixed value: schemas spell the name in this way
                 embedded = a.get("embededAggregator") or a.get("embeddedAggregator")
+                if a["aggregator"] not in COMPOSITE or not (embedded in INCREMENTAL or embedded in ON_THE_FLY):
+                    raise ValueError(f"unknown composite aggregator {a!r}")
                 composite.append(Composite(a["aggregator"], int(a["count"]), embedded, tuple(a["subCombinations"])))
-            elif a in INCREMENTAL or a in ON_THE_FLY:
+            elif known(a):
                 plain.append(a)
             else:
                 raise ValueError(f"unknown aggregator {a!r}")
@@ -122,7 +128,7 @@ def parse_schema(text: str | dict) -> Schema:
         wanted = {v.name: list(v.aggregators) for v in values}
         for extra in s.get("additionalValues", ()):
             name, _, aggregator = extra.partition(":")
-            if name not in wanted or not (aggregator in INCREMENTAL or aggregator in ON_THE_FLY):
+            if name not in wanted or not known(aggregator):
                 raise ValueError(f"unknown additional value {extra!r}")
             wanted[name].append(aggregator)
         for bucket in own or (ALL_TIME,):
