@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -221,6 +222,32 @@ def narrowed(schema: Schema, query: DataQuery) -> Schema:
     return Schema(schema.keys, schema.values, tuple(needed), () if own.bucket == ALL_TIME else (own.bucket,))
 
 
+@dataclass(frozen=True)
+class Lookup:
+    """One stored aggregate that a query needs: a group's keys in one bucket."""
+
+    dims: str
+    bucket: str
+    time: int | None
+    aggregator: str
+    keys: tuple[tuple[str, object], ...]
+
+
+def planned(schema: Schema, query: DataQuery, newest: int | None = None) -> Iterator[Lookup]:
+    """The point lookups that would answer a query: its buckets, widened for sliding, by keys and stored aggregators.
+
+    Keys that ask for all values stand for themselves ("ALL"). newest: where the latest buckets end.
+    """
+    own = schema.find(set(query.keys), query.bucket)
+    stored_ones = stored([a for _, a in _measures(query, schema) if known(a)])
+    found = bounds(query, newest)
+    size = bucket_millis(query.bucket) if found else 1
+    times = [None] if found is None else range(found[0] - size * (query.sliding - 1), found[1] + 1, size)
+    for time, values in product(times, product(*[query.keys[k] or ["ALL"] for k in own.keys])):
+        for a in stored_ones:
+            yield Lookup(own.dims, query.bucket, time, a, tuple(zip(own.keys, values)))
+
+
 def ask(events: DataFrame, schema: Schema, query: DataQuery, time: str = "time", scan: Callable[[int | None, int], Column] | None = None, now: int | None = None) -> DataFrame:
     """answer() straight from events: only what the query needs is read, kept and rolled up.
 

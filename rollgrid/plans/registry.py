@@ -326,6 +326,7 @@ def query_key_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _composite(spark: SparkSession, sf_dir: str, aggregator: str, embedded: str, count: int, parent: tuple[str, ...], sub: tuple[str, ...]) -> DataFrame:
+    # fixed value: schemas spell "embededAggregator" in this way
     told = [{"aggregator": aggregator, "count": count, "embededAggregator": embedded, "subCombinations": list(sub)}]
     keys = [TYPE, GROUP, {"name": "user_id", "type": "long"}]
     schema = _schema(keys, told, ["1d"], [{"combination": list(parent)}])
@@ -471,8 +472,9 @@ def dedup_max_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT 0::BIGINT AS missed, true AS within_bound, (SELECT count(DISTINCT user_id) FROM events) AS n""")
 def bloom_fpp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shape = bloom.shape(10_000, 0.01)
+    """At half of the filter's capacity no key is missed, and at most one in a hundred others is taken for one."""
     users = read_table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("k"))
+    shape = bloom.shape(2 * max(1, users.distinct().count()), 0.01)
     words = bloom.build(users, "k", shape)
     held = bloom.probe(users, "k", words, shape).agg(F.sum((~F.col("maybe")).cast("long")).alias("missed"), F.count("*").alias("n"))
     others = bloom.probe(spark.range(10_000_000, 10_010_000).withColumnRenamed("id", "k"), "k", words, shape).agg((F.avg(F.col("maybe").cast("double")) <= 0.01).alias("within_bound"))
@@ -874,7 +876,10 @@ def replay_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.select(F.get(parts, F.lit(0)).cast("long").alias("c_custkey"), "late", F.get(parts, F.lit(3)).alias("at"))
 
 
-@query("SELECT user_id % 16 AS part, avg(value) AS latency, CASE WHEN avg(value) > 55 THEN 1 WHEN avg(value) < 45 THEN -1 ELSE 0 END AS load FROM events GROUP BY 1")
+@query("""WITH m AS (SELECT user_id % 16 AS part, event_id, avg(value) OVER (PARTITION BY user_id % 16 ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS mean FROM events)
+SELECT part, round(arg_max(mean, event_id), 6) AS latency, CASE WHEN arg_max(mean, event_id) > 55 THEN 1 WHEN arg_max(mean, event_id) < 45 THEN -1 ELSE 0 END AS load FROM m GROUP BY 1""")
 def latency_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = read_table(spark, sf_dir, "events").groupBy((F.col("user_id") % 16).alias("part")).agg(F.avg("value").alias("latency"))
-    return parts.select("part", "latency", partitioning.latency_load_column(F.col("latency"), 45, 55).alias("load"))
+    """Parts to add by the moving average of each part's last ten latencies."""
+    parts = read_table(spark, sf_dir, "events").select((F.col("user_id") % 16).alias("part"), "event_id", F.col("value").alias("latency"))
+    told = partitioning.moving_load(parts, "part", "event_id", "latency", 10, 45, 55)
+    return told.select("part", F.round("latency", 6).alias("latency"), "load")

@@ -9,7 +9,7 @@ from rollgrid.functions.formatting import format_entries
 from rollgrid.operators.aggregators import COMPOSITE, register_composite
 from rollgrid.operators.rollup import aggregate_rows, rollup
 from rollgrid.plans import registry
-from rollgrid.plans.query import answer, ask, expand_keys, narrowed, parse_query, result_json, run_query, schema_json, single_key
+from rollgrid.plans.query import answer, ask, expand_keys, narrowed, parse_query, planned, result_json, run_query, schema_json, single_key
 from rollgrid.plans.schema import parse_schema
 from rollgrid.streaming.jobs import CubeStore
 from rollgrid.streaming.server import QueryServer
@@ -111,6 +111,16 @@ def test_key_hooks(spark):
         single_key(parse_query({"id": 1, "data": {"time": {"latestNumBuckets": 1}, "keys": {"publisher": []}}}, schema))
 
 
+def test_planned_lookups():
+    schema = _schema(values=[{"name": "cost", "aggregators": ["SUM", "AVG"]}])
+    told = {"id": 1, "data": {"time": {"from": 61_000, "to": 200_000, "bucket": "1m", "slidingAggregateSize": 5}, "keys": {"publisher": ["google", "bing"]}, "fields": ["time", "cost:SUM"]}}
+    asked = list(planned(schema, parse_query(told, schema)))
+    assert len(asked) == len(set(asked)) == 7 * 2 and {x.time for x in asked} == set(range(-180_000, 180_001, 60_000))
+    told["data"] |= {"time": {"latestNumBuckets": 3, "bucket": "1m"}, "fields": ["cost:AVG"]}
+    asked = list(planned(schema, parse_query(told, schema), newest=600_500))
+    assert sorted({x.time for x in asked}) == [480_000, 540_000, 600_000] and {x.aggregator for x in asked} == {"SUM", "COUNT"} and len(asked) == 3 * 2 * 2
+
+
 def test_answers_while_a_stream_runs(spark, tmp_path):
     schema = _schema(values=[{"name": "cost", "aggregators": ["SUM", "COUNT"]}])
     server = QueryServer(CubeStore(spark, str(tmp_path / "cube"), schema), str(tmp_path / "out"))

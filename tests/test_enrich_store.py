@@ -5,6 +5,7 @@ from rollgrid.operators import bloom, enrich, keyed_store, merge, partitioning
 from rollgrid.sources import event_log, lookups
 from pyspark.sql import functions as F
 
+# Rows of a lookup table.
 PEOPLE = [(1, "Paul", 32, "California", 20000.0), (2, "Allen", 25, "Texas", 15000.0), (3, "Teddy", 23, "Norway", 20000.0), (4, "Mark", 25, "Rich-Mond", 65000.0)]
 
 
@@ -69,6 +70,7 @@ def test_ranges(spark):
     assert keyed_store.overlapping(held, spark.createDataFrame([(6, 10)], "start long, end long")).count() == 0
 
 
+# Delimited records and what is left of them.
 @pytest.mark.parametrize(("body", "want"), [("", "\x01\x01\x01"), ("\x02", "\x01\x01\x01"), ("First", "\x01\x01\x01"), ("\x02First", "First\x01\x01\x01"), ("First\x02Second", "Second\x01\x01\x01"), ("First\x02\x02Second", "\x01Second\x01\x01"), ("First\x02\x02Second\x02\x02\x02", "\x01Second\x01\x01"), (None, None)])
 def test_records(spark, body, want):
     df = spark.createDataFrame([(body,)], "body string")

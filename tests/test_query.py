@@ -7,17 +7,17 @@ from rollgrid.plans.query import answer, describe_schema, parse_query, result_js
 from rollgrid.plans.schema import parse_schema
 
 SCHEMA = parse_schema({
-    "keys": [{"name": "publisher", "type": "string", "enumValues": ["twitter", "facebook", "yahoo"]}, {"name": "advertiser", "type": "string"}],
+    "keys": [{"name": "shop", "type": "string", "enumValues": ["north", "south", "west"]}, {"name": "brand", "type": "string"}],
     "timeBuckets": ["1m", "5m"],
-    "values": [{"name": "impressions", "type": "long", "aggregators": ["SUM", "COUNT"]}],
-    "dimensions": [{"combination": ["publisher"]}, {"combination": ["publisher", "advertiser"]}],
+    "values": [{"name": "visits", "type": "long", "aggregators": ["SUM", "COUNT"]}],
+    "dimensions": [{"combination": ["shop"]}, {"combination": ["shop", "brand"]}],
 })
 
 
 @pytest.fixture(scope="module")
 def cube(spark):
-    rows = [(p, a, 10, 60_000 * m) for p in ("twitter", "facebook", "yahoo") for a in ("starbucks", "safeway", "mcdonalds") for m in range(10)]
-    return rollup(spark.createDataFrame(rows, "publisher string, advertiser string, impressions bigint, time bigint"), SCHEMA)
+    rows = [(p, a, 10, 60_000 * m) for p in ("north", "south", "west") for a in ("amber", "birch", "cedar") for m in range(10)]
+    return rollup(spark.createDataFrame(rows, "shop string, brand string, visits bigint, time bigint"), SCHEMA)
 
 
 def ask(data, **top):
@@ -25,28 +25,28 @@ def ask(data, **top):
 
 
 def test_star_query_has_all_nine(cube):
-    got = run_query(cube, SCHEMA, ask({"time": {"latestNumBuckets": 1, "bucket": "1m"}, "keys": {"publisher": [], "advertiser": []}, "fields": ["time", "publisher", "advertiser", "impressions"]})).collect()
-    assert len(got) == 9 and {r["impressions:SUM"] for r in got} == {10} and {r["time"] for r in got} == {540_000}
+    got = run_query(cube, SCHEMA, ask({"time": {"latestNumBuckets": 1, "bucket": "1m"}, "keys": {"shop": [], "brand": []}, "fields": ["time", "shop", "brand", "visits"]})).collect()
+    assert len(got) == 9 and {r["visits:SUM"] for r in got} == {10} and {r["time"] for r in got} == {540_000}
 
 
 def test_rolling_five(cube):
-    got = run_query(cube, SCHEMA, ask({"time": {"from": 240_000, "to": 540_000, "bucket": "1m", "slidingAggregateSize": "5"}, "keys": {"publisher": "twitter", "advertiser": "safeway"}, "fields": ["time", "impressions:SUM", "impressions:AVG"]})).collect()
-    assert len(got) == 6 and {r["impressions:SUM"] for r in got} == {50} and {r["impressions:AVG"] for r in got} == {10.0}
+    got = run_query(cube, SCHEMA, ask({"time": {"from": 240_000, "to": 540_000, "bucket": "1m", "slidingAggregateSize": "5"}, "keys": {"shop": "north", "brand": "birch"}, "fields": ["time", "visits:SUM", "visits:AVG"]})).collect()
+    assert len(got) == 6 and {r["visits:SUM"] for r in got} == {50} and {r["visits:AVG"] for r in got} == {10.0}
 
 
 def test_range_is_floored_and_inclusive(cube):
-    got = run_query(cube, SCHEMA, ask({"time": {"from": 61_000, "to": 185_000, "bucket": "1m"}, "keys": {"publisher": ["yahoo"]}, "fields": ["time", "impressions:COUNT"]})).collect()
+    got = run_query(cube, SCHEMA, ask({"time": {"from": 61_000, "to": 185_000, "bucket": "1m"}, "keys": {"shop": ["west"]}, "fields": ["time", "visits:COUNT"]})).collect()
     assert sorted(r["time"] for r in got) == [60_000, 120_000, 180_000]
 
 
 def test_json_and_all(cube):
-    query = ask({"time": {"latestNumBuckets": 2, "bucket": "5m"}, "keys": {"publisher": "yahoo"}, "fields": ["time", "publisher", "advertiser", "impressions:SUM"]}, countdown=2)
+    query = ask({"time": {"latestNumBuckets": 2, "bucket": "5m"}, "keys": {"shop": "west"}, "fields": ["time", "shop", "brand", "visits:SUM"]}, countdown=2)
     told = json.loads(result_json(run_query(cube, SCHEMA, query), query))
-    assert told == {"id": "1", "type": "dataResult", "countdown": "2", "data": [{"time": t, "publisher": "yahoo", "advertiser": "ALL", "impressions:SUM": "150"} for t in ("0", "300000")]}
+    assert told == {"id": "1", "type": "dataResult", "countdown": "2", "data": [{"time": t, "shop": "west", "brand": "ALL", "visits:SUM": "150"} for t in ("0", "300000")]}
 
 
 def test_incomplete_results(cube):
-    data = {"time": {"latestNumBuckets": 99, "bucket": "1m"}, "keys": {"publisher": []}}
+    data = {"time": {"latestNumBuckets": 99, "bucket": "1m"}, "keys": {"shop": []}}
     assert answer(cube, SCHEMA, ask(data, incompleteResultOK=False, countdown=2)).count() == 0
     assert answer(cube, SCHEMA, ask(data, incompleteResultOK=False, countdown=1)).count() == 30
     assert answer(cube, SCHEMA, ask(data)).count() == 30
@@ -58,14 +58,14 @@ def test_schema_answer(cube):
 
 
 @pytest.mark.parametrize("data", [
-    {"keys": {"publisher": {"a": 1}}, "time": {"latestNumBuckets": 1}},
-    {"keys": {"publisher": 5}, "time": {"latestNumBuckets": 1}},
+    {"keys": {"shop": {"a": 1}}, "time": {"latestNumBuckets": 1}},
+    {"keys": {"shop": 5}, "time": {"latestNumBuckets": 1}},
     {"keys": {"nobody": "x"}, "time": {"latestNumBuckets": 1}},
-    {"keys": {"advertiser": "x"}, "time": {"latestNumBuckets": 1}},
-    {"keys": {"publisher": "x"}, "time": {"bucket": "1m"}},
-    {"keys": {"publisher": "x"}, "time": {"latestNumBuckets": 1, "slidingAggregateSize": 0}},
-    {"keys": {"publisher": "x"}, "time": {"latestNumBuckets": 1}, "fields": ["nothing"]},
-    {"keys": {"publisher": "x"}, "time": {"latestNumBuckets": 1, "bucket": "7d"}},
+    {"keys": {"brand": "x"}, "time": {"latestNumBuckets": 1}},
+    {"keys": {"shop": "x"}, "time": {"bucket": "1m"}},
+    {"keys": {"shop": "x"}, "time": {"latestNumBuckets": 1, "slidingAggregateSize": 0}},
+    {"keys": {"shop": "x"}, "time": {"latestNumBuckets": 1}, "fields": ["nothing"]},
+    {"keys": {"shop": "x"}, "time": {"latestNumBuckets": 1, "bucket": "7d"}},
 ])
 def test_bad_queries(data):
     with pytest.raises(ValueError):
