@@ -22,6 +22,7 @@ can miss thin them out, and the sets themselves decide on every pair.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
@@ -277,18 +278,26 @@ def _prefixed(docs: DataFrame, words_per_shingle: int) -> DataFrame:
 
 
 def _free(docs: DataFrame) -> None:
-    """Lets Spark delete the shuffle files of what has been written to checkpoints."""
+    """Lets Spark delete the shuffle files of what has been written to the shared folder."""
+    gc.collect()
     docs.sparkSession.sparkContext._jvm.System.gc()
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words_per_shingle: int) -> DataFrame:
+    _free(docs)
+    with scratch(docs.sparkSession) as keep:
+        return _verified_with(keep, pairs, nodes, docs, words_per_shingle)
+
+
+def _verified_with(keep: Callable[[DataFrame, str], DataFrame], pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words_per_shingle: int) -> DataFrame:
     """Those pairs a, b of digests, of n keys in all, whose shingle sets have the similarity NEAR at least."""
     near, of = NEAR
     # each key that only one set holds changes one parity: sets that are near differ in few
     sides = [nodes.select(F.col("g").alias(side), *(F.col(c).alias(side + c) for c in PARITY)) for side in ("a", "b")]
     differ = reduce(add, [F.bit_count(F.col("a" + p).bitwiseXOR(F.col("b" + p))) for p in PARITY])
     held = pairs.distinct().join(sides[0], "a").join(sides[1], "b")
-    likely = checkpointed(held.where(differ * (of + near) <= F.col("n") * (of - near)).select("a", "b", "n"))
+    likely = keep(held.where(differ * (of + near) <= F.col("n") * (of - near)).select("a", "b", "n"), "likely")
+    del held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,12 +306,14 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words_per_shi
                 yield pa.RecordBatch.from_arrays([pa.array([g.as_py()], pa.int64()), pa.array([keys.view(np.int64)], pa.list_(pa.int64()))], ["g", "keys"])
 
     wanted = likely.select(F.explode(F.array("a", "b")).alias("g")).distinct().join(nodes.select("g", "node"), "g")
-    wanted = checkpointed(wanted)
+    wanted = keep(wanted, "wanted")
+    _free(docs)
     if wanted.count() <= SENT_IDS:
         wanted = F.broadcast(wanted)
     texts = docs.select(order_id().alias("row_id"), text_key().alias("row_key"), F.col("text").cast("string").alias("text"))
     found = texts.join(wanted, (F.col("row_id") == F.col("node.id")) & (F.col("row_key") == F.col("node.key"))).groupBy("g").agg(F.min("text").alias("text"))
-    sets = checkpointed(found.mapInArrow(run, "g long, keys array<long>"))
+    sets = keep(found.mapInArrow(run, "g long, keys array<long>"), "sets")
+    _free(docs)
     both = likely.join(sets.toDF("a", "a_keys"), "a").join(sets.toDF("b", "b_keys"), "b").withColumn("both", F.size(F.array_intersect("a_keys", "b_keys")))
     return checkpointed(both.where(F.col("both") * of >= (F.col("n") - F.col("both")) * near).select("a", "b"))
 
@@ -328,6 +339,7 @@ def _with_ends(members: DataFrame, label: str) -> DataFrame:
 
     low: the row of the least label; drawn: one drawn for the block.
     """
+    members = members.repartition("block")  # so that no row is dealt with what the window makes of it
     block = Window.partitionBy("block")
     one = F.struct(*dict.fromkeys([label, "g", "place"]))
     drawn = F.min(F.struct(F.xxhash64(label, "block").alias("order"), one.alias("one"))).over(block)
