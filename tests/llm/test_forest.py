@@ -58,3 +58,23 @@ def test_odd_rows(spark):
     alone = [(i, 0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 10, 11)]
     assert got == sorted([(0, 0, 0, False), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), *alone])
     assert forest.embedding_components(df.limit(0)).count() == 0
+
+
+def test_oversized_leaves_are_split_again(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(150, 32))
+    rows = [(i, [float(x) for x in base[i % 150] + rng.normal(size=32) * 0.12], 0) for i in range(600)]
+    rows += [(600 + i, [float(x) for x in base[0] + rng.normal(size=32) * 0.05], 0) for i in range(120)]  # these don't come apart
+    near = brute(rows)
+    df = spark.createDataFrame([(*r, "z") for r in rows], SCHEMA)
+    settings = forest.Settings(leaf=400, sample=64, leaf_sample=64, block=48, trees=4)
+    got = {r["vec_id"]: r["n_links"] for r in forest.embedding_components(df, settings).collect()}
+    found = np.array([got[i] for i in range(len(rows))])
+    assert (found <= near.sum(1)).all() and found.sum() >= 0.9 * near.sum() > 0
+
+
+def test_magnitudes(spark):
+    rows = [(1, [1e-170, 2e-170], 1, "a"), (2, [1e160, 2e160], 1, "a"), (3, [3.0, 6.0], 1, "a"), (4, [2e300, -1e300], 1, "a"), (5, [1.0, -0.5], 1, "a")]
+    df = spark.createDataFrame(rows, SCHEMA.replace("float", "double"))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in forest.embedding_components(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4)}

@@ -40,3 +40,40 @@ def test_growth_moves_few(spark):
     loose_a = {r["doc_id"]: r["shard"] for r in sharding.shard_rows(docs, 16, load=1.25).collect()}
     loose_b = {r["doc_id"]: r["shard"] for r in sharding.shard_rows(docs, 17, load=1.25).collect()}
     assert sum(loose_a[i] != loose_b[i] for i in a) / len(a) < 0.25
+
+
+def test_many_virtual_nodes_widen_the_ring():
+    assert sharding.places_of(16) == sharding.PLACES and sharding.places_of(513) == 4 * sharding.PLACES // 2
+    nodes = sharding.ring(513)
+    assert len(nodes) == len({at for at, _ in nodes}) == 513 * 128 and max(at for at, _ in nodes) < sharding.places_of(513)
+
+
+def test_hot_place_is_ranked_in_parts(spark):
+    docs = spark.range(900).selectExpr("if(id % 3 = 0, 7, id) AS doc_id", "'same' AS text")
+    rows = sharding.shard_rows(docs, 5, part_rows=40).collect()
+    assert len(rows) == 900 and Counter(r["doc_id"] for r in rows)[7] == 301
+    by = Counter(r["shard"] for r in rows)
+    assert sorted(by.values()) == [180] * 5
+    assert all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(n)) for s, n in by.items())
+
+
+def test_rows_walk_clockwise(spark):
+    """Row by row: to the first shard with room, each arc's rows one node further a round."""
+    docs = spark.range(700).selectExpr("id AS doc_id", "'t' AS text")
+    hashes = sorted((r["h"] % sharding.PLACES, r["h"], r["doc_id"]) for r in docs.selectExpr("doc_id", "xxhash64(cast(doc_id AS string)) AS h").collect())
+    nodes = sharding.ring(6, 16)
+    arcs = [[] for _ in nodes]
+    for place, _, doc in hashes:
+        arcs[next((i for i, (at, _) in enumerate(nodes) if at >= place), 0)].append((place, doc))
+    arcs[0].sort(key=lambda x: [p for p, _, _ in hashes].index(x[0]))
+    room = {s: 700 // 6 + (s < 700 % 6) for s in range(6)}
+    want = {}
+    for step in range(len(nodes)):
+        for i, rows in enumerate(arcs):
+            shard = nodes[(i + step) % len(nodes)][1]
+            for _, doc in rows:
+                if doc not in want and room[shard]:
+                    want[doc] = shard
+                    room[shard] -= 1
+    got = {r["doc_id"]: r["shard"] for r in sharding.shard_rows(docs, 6, virtual_nodes=16).collect()}
+    assert got == want

@@ -158,3 +158,34 @@ def test_long_chain_is_one_component(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7), (None, 5)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def test_large_blocks_are_cut_further(spark):
+    from rollgrid.llm.components import connected_components
+
+    rng = random.Random(12)
+    center = rng.getrandbits(64)
+    prints = {center ^ sum(1 << b for b in rng.sample(range(14), rng.randrange(6))) ^ (rng.getrandbits(1) << 40) for _ in range(400)}
+    prints |= {rng.getrandbits(64) for _ in range(100)}
+    nodes = [(i, p - 2**64 if p >= 2**63 else p) for i, p in enumerate(sorted(prints))]
+    want = list(range(len(nodes)))
+    for i, (_, a) in enumerate(nodes):
+        for j in range(i):
+            if ((a ^ nodes[j][1]) & (2**64 - 1)).bit_count() <= 3:
+                want = [want[j] if x == want[i] else x for x in want]
+    for most in (1024, 16):
+        found = simhash.links(spark.createDataFrame(nodes, "id long, fp long"), most=most)
+        edges = found.selectExpr("a.id AS a", "b.id AS b").cache()
+        got = {r["node"]: r["component"] for r in connected_components(edges, "a", "b").collect()}
+        assert {(want[i], got.get(i, i)) for i, _ in nodes} == {(w, min(i for i, x in enumerate(want) if x == w)) for w in set(want)}
+        if most == 1024:
+            assert edges.count() <= 20 * len(nodes)  # not as many as a block has pairs
+
+
+def test_hot_nodes_of_a_star(spark, monkeypatch):
+    from rollgrid.llm import components
+
+    monkeypatch.setattr(components, "STAR_EDGES", 10)
+    edges = [(0, i) for i in range(1, 90)] + [(200, i) for i in range(80, 130)] + [(500, 501)]
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()}
+    assert got == {i: 0 for i in [*range(130), 200]} | {500: 500, 501: 500}
