@@ -43,7 +43,7 @@ def test_growth_moves_few(spark):
 
 
 def test_many_virtual_nodes_widen_the_ring():
-    assert sharding.places_of(16) == sharding.PLACES and sharding.places_of(513) == 4 * sharding.PLACES // 2
+    assert sharding.places_of(16) == sharding.PLACES and sharding.places_of(513) == 4 * sharding.PLACES
     nodes = sharding.ring(513)
     assert len(nodes) == len({at for at, _ in nodes}) == 513 * 128 and max(at for at, _ in nodes) < sharding.places_of(513)
 
