@@ -40,7 +40,7 @@ from rollgrid.llm.components import connected_components
 #: Shingles hashed at a time; bounds the memory for one very long text.
 CHUNK = 50_000
 #: Nodes of a block that are compared with each other, at most; free bits below which a block isn't cut further.
-MOST, FREE_BITS = 1024, 10
+MOST, FREE_BITS = 256, 8
 #: A pair counts as copies if its shingle sets have this similarity, as a fraction.
 NEAR = (4, 5)
 #: Of the texts, one in so many is counted for the order of shingles, and so many shingles
@@ -390,14 +390,15 @@ def near_groups(docs: DataFrame, words_per_shingle: int = 5) -> DataFrame:
     ship_code(spark)
     near, of = NEAR
     with scratch(spark) as keep:
-        rows = _prefixed(docs, words_per_shingle).groupBy("g", "n", "fp", *PARITY)
-        nodes = keep(rows.agg(F.min(F.struct("id", "key")).alias("node"), F.min("prefix").alias("prefix")), "nodes")
-        _free(docs)
-        placed = nodes.select("g", "n", F.posexplode("prefix").alias("at", "block"))
-        placed = placed.select("block", "g", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long")).alias("place"))
-        ends = keep(_with_ends(placed, "g"), "ends")
-        _free(docs)
-        told = nodes.select("g", "n", "fp", "node", *PARITY)
+        with scratch(spark) as keep_prefixes:
+            rows = _prefixed(docs, words_per_shingle).groupBy("g", "n", "fp", *PARITY)
+            nodes = keep_prefixes(rows.agg(F.min(F.struct("id", "key")).alias("node"), F.min("prefix").alias("prefix")), "nodes")
+            _free(docs)
+            placed = nodes.select("g", "n", F.posexplode("prefix").alias("at", "block"))
+            placed = placed.select("block", "g", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long")).alias("place"))
+            ends = keep(_with_ends(placed, "g"), "ends")
+            told = keep(nodes.select("g", "n", "fp", "node", *PARITY), "told")
+            _free(docs)
         edges = _verified(_by_fingerprint(told).unionByName(_likeliest(ends, "g")), told, docs, words_per_shingle)
 
         def labelled(members: DataFrame) -> DataFrame:
