@@ -24,7 +24,7 @@ def parse_mapping(text: str | None) -> list[tuple[str, str]]:
 
 def _small(lookup: DataFrame) -> bool:
     """By the optimizer's estimate of its bytes, without running anything."""
-    return int(lookup._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= BROADCAST_BYTES
+    return int(str(lookup._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES  # an int or a Scala BigInt, by version
 
 
 def _joined(stream: DataFrame, lookup: DataFrame, on: list[tuple[str, str]], take: list[str]) -> DataFrame:
