@@ -58,8 +58,8 @@ def enrich(stream: DataFrame, lookup: DataFrame, on: list[tuple[str, str]], incl
 def enrich_mapped(stream: DataFrame, lookup: DataFrame, lookups: str, enriched: str, copied: str, defaults: dict[str, object] | None = None) -> DataFrame:
     """A new record: fields copied from the stream and enriched from the lookup, by "from:to" mappings.
 
-    lookups: "stream field:lookup field" of the key. Enriched fields of a miss take
-    their defaults, else null.
+    lookups: "stream field:lookup field" of the key. Enriched fields that are null, as
+    all are on a miss, take their defaults if they have any.
     """
     pairs, defaults = parse_mapping(enriched), defaults or {}
     joined = _joined(stream, lookup, parse_mapping(lookups), [a for a, _ in pairs])
@@ -67,7 +67,7 @@ def enrich_mapped(stream: DataFrame, lookup: DataFrame, lookups: str, enriched:
     news = []
     for a, b in pairs:
         value = F.col("_out").getField(a)
-        news.append((F.when(F.col("_out").isNotNull(), value).otherwise(F.lit(defaults[b])) if b in defaults else value).alias(b))
+        news.append((F.coalesce(value, F.lit(defaults[b])) if b in defaults else value).alias(b))
     return joined.select(*copies, *news)
 
 
