@@ -48,8 +48,10 @@ NEAR = (4, 5)
 SAMPLE, COMMON = 16, 100_000
 #: Bits of the parities that bound the difference of two shingle sets from below.
 PARITY_BITS = 512
-#: Ids of texts to be read again that are sent to all executors; more of them are joined by a shuffle.
-SENT_IDS = 100_000
+#: Digests of texts to be read again that are sent to all executors; more of them are joined by a shuffle.
+SENT_IDS = 1_000_000
+#: Shingles and sets of a cell, about: sets that are verified in one place. Both bear on what is dealt out only.
+CELL_SHINGLES, CELL_SETS = 1_000_000, 1_000
 ROLL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -114,6 +116,12 @@ def prefix(keys: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate([keys[~last], keys[last]])[: n - -(-n * NEAR[0] // NEAR[1]) + 1]
 
 
+def shared(keys: np.ndarray, others: np.ndarray) -> int:
+    """How many keys two sets (sorted) have in common."""
+    few, many = sorted((keys, others), key=len)
+    return int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum()) if len(few) else 0
+
+
 def parities(keys: np.ndarray) -> bytes:
     """Whether each of PARITY_BITS parts of all hashes holds an odd number of these; a key more or less changes one bit."""
     return np.packbits(np.bincount((keys % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1).astype(np.uint8).tobytes()
@@ -289,8 +297,29 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words_per_shi
         return _verified_with(keep, pairs, nodes, docs, words_per_shingle)
 
 
+def _cells(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """g, id, key, cell: for each set of the pairs its least row, and a cell that it shares with most sets it is paired with.
+
+    A label is the least set found within three steps. Labels of many sets or shingles
+    are parted, so that a cell stays small. Any cells would do: they decide only how
+    often a text is dealt out, once for each cell that holds a partner of it.
+    """
+    edges = pairs.select(F.explode(F.array(*[F.struct(F.col(x).alias("g"), F.col(y).alias("other")) for x in "ab" for y in "ab"])).alias("e")).select("e.*")
+    labels = edges.groupBy("g").agg(F.min("other").alias("label"))
+    for _ in range(2):
+        labels = edges.join(labels.toDF("other", "label"), "other").groupBy("g").agg(F.min("label").alias("label"))
+    sized = labels.join(nodes.select("g", "n", "node"), "g")
+    parts = F.ceil(F.greatest(F.sum("n") / CELL_SHINGLES, F.count("*") / CELL_SETS, F.lit(1.0))).alias("parts")
+    cell = F.xxhash64("label", F.pmod(F.xxhash64("g"), F.col("parts"))).alias("cell")
+    return sized.join(sized.groupBy("label").agg(parts), "label").select("g", "node.id", "node.key", cell)
+
+
 def _verified_with(keep: Callable[[DataFrame, str], DataFrame], pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words_per_shingle: int) -> DataFrame:
-    """Those pairs a, b of digests, of n keys in all, whose shingle sets have the similarity NEAR at least."""
+    """Those pairs a, b of digests, of n keys in all, whose shingle sets have the similarity NEAR at least.
+
+    No text is dealt out for each of its pairs: pairs are dealt by the cells of their
+    sets, and a text goes to each of these places once, where its set is made.
+    """
     near, of = NEAR
     # each key that only one set holds changes one parity: sets that are near differ in few
     sides = [nodes.select(F.col("g").alias(side), *(F.col(c).alias(side + c) for c in PARITY)) for side in ("a", "b")]
@@ -298,24 +327,30 @@ def _verified_with(keep: Callable[[DataFrame, str], DataFrame], pairs: DataFrame
     held = pairs.distinct().join(sides[0], "a").join(sides[1], "b")
     likely = keep(held.where(differ * (of + near) <= F.col("n") * (of - near)).select("a", "b", "n"), "likely")
     del held
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for g, text in zip(batch.column("g"), batch.column("text")):
-                keys = shingle_set(text.as_py(), words_per_shingle)
-                yield pa.RecordBatch.from_arrays([pa.array([g.as_py()], pa.int64()), pa.array([keys.view(np.int64)], pa.list_(pa.int64()))], ["g", "keys"])
-
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("g")).distinct().join(nodes.select("g", "node"), "g")
-    wanted = keep(wanted, "wanted")
+    cells = keep(_cells(likely, nodes), "cells")
+    c, d = F.col("a_cell"), F.col("b_cell")
+    met = likely
+    for side in ("a", "b"):
+        met = met.join(cells.select(F.col("g").alias(side), F.col("cell").alias(f"{side}_cell")), side)
+    met = keep(met.select(F.least(c, d).alias("c"), F.greatest(c, d).alias("d"), "a", "b", "n"), "met")
     _free(docs)
-    if wanted.count() <= SENT_IDS:
-        wanted = F.broadcast(wanted)
     texts = docs.select(order_id().alias("row_id"), text_key().alias("row_key"), F.col("text").cast("string").alias("text"))
-    found = texts.join(wanted, (F.col("row_id") == F.col("node.id")) & (F.col("row_key") == F.col("node.key"))).groupBy("g").agg(F.min("text").alias("text"))
-    sets = keep(found.mapInArrow(run, "g long, keys array<long>"), "sets")
-    _free(docs)
-    both = likely.join(sets.toDF("a", "a_keys"), "a").join(sets.toDF("b", "b_keys"), "b").withColumn("both", F.size(F.array_intersect("a_keys", "b_keys")))
-    return checkpointed(both.where(F.col("both") * of >= (F.col("n") - F.col("both")) * near).select("a", "b"))
+    if cells.count() <= SENT_IDS:
+        sent = F.broadcast(cells.select(F.xxhash64("id", "key").alias("sent")))
+        texts = texts.join(sent, F.xxhash64("row_id", "row_key") == F.col("sent"), "left_semi")
+    else:
+        texts = texts.join(cells, (F.col("row_id") == F.col("id")) & (F.col("row_key") == F.col("key")), "left_semi")
+    found = texts.groupBy("row_id", "row_key").agg(F.min("text").alias("text"))
+    places = met.select(F.col("c").alias("to_c"), F.col("d").alias("to_d"), F.explode(F.array("a", "b")).alias("g")).distinct().join(cells, "g")
+    dealt = places.join(found, (F.col("id") == F.col("row_id")) & (F.col("key") == F.col("row_key"))).select("to_c", "to_d", "g", "text")
+
+    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        sets = {g.as_py(): shingle_set(text.as_py(), words_per_shingle) for g, text in zip(texts.column("g"), texts.column("text"))}
+        ends = [pairs.column(x).to_pylist() for x in ("a", "b", "n")]
+        alike = [(a, b) for a, b, n in zip(*ends) if (both := shared(sets[a], sets[b])) * of >= (n - both) * near]
+        return pa.table({"a": pa.array([a for a, _ in alike], pa.int64()), "b": pa.array([b for _, b in alike], pa.int64())})
+
+    return checkpointed(met.groupBy("c", "d").cogroup(dealt.groupBy("to_c", "to_d")).applyInArrow(run, "a long, b long"))
 
 
 def _n(place: Column | str) -> Column:
@@ -432,7 +467,9 @@ def near_dedup(docs: DataFrame, words_per_shingle: int = 5) -> DataFrame:
     equal ones are copies. Rows that agree in doc_id and text are one document, of
     which one row stays. All columns stay as they are; an empty table gives none.
     """
-    keep = near_groups(docs, words_per_shingle).groupBy("component").agg(F.min(F.struct("id", "key")).alias("keep")).select("keep")
+    groups = near_groups(docs, words_per_shingle)
+    _free(docs)
+    keep = groups.groupBy("component").agg(F.min(F.struct("id", "key")).alias("keep")).select("keep")
     packed = docs.select(F.struct("*").alias("row"), order_id().alias("row_id"), text_key().alias("row_key"))
     kept = packed.join(keep, (packed["row_id"] == keep["keep.id"]) & (packed["row_key"] == keep["keep.key"]), "left_semi")
     return kept.dropDuplicates(["row_id", "row_key"]).select("row.*")

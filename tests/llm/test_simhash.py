@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import xxhash
 
 from rollgrid.llm import simhash
@@ -189,3 +190,33 @@ def test_hot_nodes_of_a_star(spark, monkeypatch):
     edges = [(0, i) for i in range(1, 90)] + [(200, i) for i in range(80, 130)] + [(500, 501)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()}
     assert got == {i: 0 for i in [*range(130), 200]} | {500: 500, 501: 500}
+
+
+def test_pairs_are_verified_without_a_set_for_each(spark):
+    """All pairs of a family of texts: what is shuffled grows with the texts, not with their pairs."""
+    import time
+
+    rng = random.Random(14)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(1500)]
+    texts = [edited(rng, words, rng.sample(range(1500), rng.randrange(8, 25))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").localCheckpoint()
+    nodes = docs.selectExpr("doc_id AS g", "struct(doc_id AS id, xxhash64(text) AS key) AS node")
+    sets = [simhash.shingle_set(t) for t in texts]
+    extra = spark.createDataFrame([(i, len(k), *np.frombuffer(simhash.parities(k), dtype=">i8").tolist()) for i, k in enumerate(sets)], "g long, n long, " + ", ".join(f"{c} long" for c in simhash.PARITY))
+    nodes = nodes.join(extra, "g").localCheckpoint()
+    pairs = spark.createDataFrame([(i, j, len(sets[i]) + len(sets[j])) for j in range(60) for i in range(j)], "a long, b long, n long")
+    want = {(i, j) for j in range(60) for i in range(j) if similarity(texts[i], texts[j]) >= 0.8}
+
+    def written():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty()
+        time.sleep(2)
+        spark.range(1).count()
+        context.listenerBus().waitUntilEmpty()
+        held = context.statusStore().executorList(True)
+        return sum(held.apply(i).totalShuffleWrite() for i in range(held.size()))
+
+    before = written()
+    got = {tuple(r) for r in simhash._verified(pairs, nodes, docs, 5).collect()}
+    assert got == want and 200 < len(want) < 1770
+    assert written() - before < 8_000_000
