@@ -216,7 +216,11 @@ def test_pairs_are_verified_without_a_set_for_each(spark):
         held = context.statusStore().executorList(True)
         return sum(held.apply(i).totalShuffleWrite() for i in range(held.size()))
 
-    before = written()
-    got = {tuple(r) for r in simhash._verified(pairs, nodes, docs, 5).collect()}
+    before, threshold = written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    try:
+        got = {tuple(r) for r in simhash._verified(pairs, nodes, docs, 5).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert got == want and 200 < len(want) < 1770
     assert written() - before < 8_000_000
