@@ -1,4 +1,4 @@
-"""Enrichment: left joins with a lookup table of at most one match a key."""
+"""Enrichment: left joins with a lookup table, which as a rule holds one row a key."""
 
 from __future__ import annotations
 
@@ -39,7 +39,7 @@ def enrich(stream: DataFrame, lookup: DataFrame, on: list[tuple[str, str]], incl
     """stream with the lookup's columns; they overwrite columns of the same name on a match.
 
     include: columns to add (None: all, the key's too). On a miss a row stays as
-    it is, and added columns are null. The lookup holds one row a key at most.
+    it is, and added columns are null. A key of several rows in the lookup makes a row each.
     """
     take = include if include is not None else lookup.columns
     joined = _joined(stream, lookup, on, take)

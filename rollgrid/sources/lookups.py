@@ -9,8 +9,13 @@ from rollgrid.operators.enrich import last_by_key
 
 
 def load_json_lines(spark: SparkSession, path: str, keys: list[str], schema: str) -> DataFrame:
-    """Newline-delimited JSON: malformed lines are skipped, a later line of a key wins."""
+    """Newline-delimited JSON: a later line of a key wins; without keys all lines stay.
+
+    Malformed lines are skipped, as far as the columns that are read show it.
+    """
     lines = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    if not keys:
+        return lines
     numbered = lines.select("*", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()).alias("_position"))
     return last_by_key(numbered, keys, "_position")
 
