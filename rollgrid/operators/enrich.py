@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +13,19 @@ BROADCAST_BYTES = 64 << 20
 
 def last_by_key(lookup: DataFrame, keys: list[str], position: str) -> DataFrame:
     """One row a key: the one that comes last by position."""
+    return _one_by_key(lookup, keys, position, F.max_by)
+
+
+def first_by_key(lookup: DataFrame, keys: list[str], position: str) -> DataFrame:
+    """One row a key: the one that comes first by position."""
+    return _one_by_key(lookup, keys, position, F.min_by)
+
+
+def _one_by_key(lookup: DataFrame, keys: list[str], position: str, pick: Callable[[Column, str], Column]) -> DataFrame:
+    """Rows of null position are passed over; a key that has no others gets null columns."""
     columns = [c for c in lookup.columns if c not in (*keys, position)]
-    last = lookup.groupBy(*keys).agg(F.max_by(F.struct(*columns), position).alias("_row"))
-    return last.select(*keys, "_row.*")
+    picked = lookup.groupBy(*keys).agg(pick(F.struct(*columns), position).alias("_row"))
+    return picked.select(*keys, "_row.*")
 
 
 def parse_mapping(text: str | None) -> list[tuple[str, str]]:
