@@ -52,6 +52,8 @@ PARITY_BITS = 512
 SENT_IDS = 1_000_000
 #: Shingles and sets of a cell, about: sets that are verified in one place. Both bear on what is dealt out only.
 CELL_SHINGLES, CELL_SETS = 1_000_000, 1_000
+#: Pairs whose parities are joined to them at a time, about; bears on the disk in use only.
+PAIRS_AT_ONCE = 20_000_000
 ROLL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -314,6 +316,29 @@ def _cells(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return sized.join(sized.groupBy("label").agg(parts), "label").select("g", "node.id", "node.key", cell)
 
 
+def _likely(keep: Callable[[DataFrame, str], DataFrame], pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those pairs a, b, n, each once, whose parities don't rule out the similarity NEAR.
+
+    Pairs may grow faster than the texts, and with their parities each is some hundred
+    bytes in two shuffles. So they are kept bare, and go through these joins in parts.
+    """
+    near, of = NEAR
+    # each key that only one set holds changes one parity: sets that are near differ in few
+    sides = [nodes.select(F.col("g").alias(side), *(F.col(c).alias(side + c) for c in PARITY)) for side in ("a", "b")]
+    differ = reduce(add, [F.bit_count(F.col("a" + p).bitwiseXOR(F.col("b" + p))) for p in PARITY])
+    kept = []
+    with scratch(nodes.sparkSession) as keep_pairs:
+        once = keep_pairs(pairs.distinct(), "pairs")
+        _free(nodes)
+        parts = 1 + once.count() // PAIRS_AT_ONCE
+        for i in range(parts):
+            held = once.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == i).join(sides[0], "a").join(sides[1], "b")
+            kept.append(keep(held.where(differ * (of + near) <= F.col("n") * (of - near)).select("a", "b", "n"), f"likely-{i}"))
+            del held
+            _free(nodes)
+    return reduce(DataFrame.unionByName, kept)
+
+
 def _verified_with(keep: Callable[[DataFrame, str], DataFrame], pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words_per_shingle: int) -> DataFrame:
     """Those pairs a, b of digests, of n keys in all, whose shingle sets have the similarity NEAR at least.
 
@@ -321,12 +346,7 @@ def _verified_with(keep: Callable[[DataFrame, str], DataFrame], pairs: DataFrame
     sets, and a text goes to each of these places once, where its set is made.
     """
     near, of = NEAR
-    # each key that only one set holds changes one parity: sets that are near differ in few
-    sides = [nodes.select(F.col("g").alias(side), *(F.col(c).alias(side + c) for c in PARITY)) for side in ("a", "b")]
-    differ = reduce(add, [F.bit_count(F.col("a" + p).bitwiseXOR(F.col("b" + p))) for p in PARITY])
-    held = pairs.distinct().join(sides[0], "a").join(sides[1], "b")
-    likely = keep(held.where(differ * (of + near) <= F.col("n") * (of - near)).select("a", "b", "n"), "likely")
-    del held
+    likely = _likely(keep, pairs, nodes)
     cells = keep(_cells(likely, nodes), "cells")
     c, d = F.col("a_cell"), F.col("b_cell")
     met = likely

@@ -224,3 +224,19 @@ def test_pairs_are_verified_without_a_set_for_each(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert got == want and 200 < len(want) < 1770
     assert written() - before < 8_000_000
+
+
+def test_pairs_go_through_joins_in_parts(spark, monkeypatch):
+    """Of many pairs, each part is joined on its own: all are judged, each once."""
+    rng = random.Random(15)
+    words = [f"w{i}" for i in range(300)]
+    sets = [simhash.shingle_set(edited(rng, words, rng.sample(range(300), 2 if i % 2 else 60))) for i in range(24)]
+    nodes = spark.createDataFrame([(i, *np.frombuffer(simhash.parities(k), dtype=">i8").tolist()) for i, k in enumerate(sets)], "g long, " + ", ".join(f"{c} long" for c in simhash.PARITY))
+    pairs = spark.createDataFrame([(i, j, len(sets[i]) + len(sets[j])) for j in range(24) for i in range(j)] * 2, "a long, b long, n long")
+    found, names = [], []
+    for most in (20_000_000, 50):
+        monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", most)
+        with simhash.scratch(spark) as keep:
+            found.append(sorted(map(tuple, simhash._likely(lambda df, name: names.append(name) or keep(df, name), pairs, nodes).collect())))
+    assert found[0] == found[1] and {(i, j) for j in range(1, 24, 2) for i in range(1, j, 2)} <= {(a, b) for a, b, _ in found[0]}
+    assert len(found[0]) == len(set(found[0])) < 276 and len(names) == 1 + 6
